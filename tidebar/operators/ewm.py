@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import functions  # noqa: F401
 from ..functions.expr import by_ticker, c
 
 

@@ -36,28 +36,30 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column | str], sums: dict[str, Column],
                    keep: list[str] | None = None, unique: bool = False) -> DataFrame:
-    """Per distinct (by, order keys) row: its own totals and ``<name>_before``, the totals of all rows ordered earlier.
+    """Per distinct (by, order keys) row: its own totals, ``<name>_before``, the totals of all rows ordered earlier in the
+    group, and ``<name>_total``, the totals of the whole group.
 
     ``order`` takes column names or sort columns named in ``keep``. With ``unique`` the rows are already distinct and
     are not combined.
     """
     names = [o for o in order if isinstance(o, str)] if keep is None else keep
-    if unique:
-        small = df.withColumns(sums)
-    else:
-        small = df.groupBy(*by, *names).agg(*[v.alias(k) for k, v in sums.items()])
+    alone = not by
+    if alone:
+        df, by = df.withColumn("_all", F.lit(0)), ["_all"]
+    small = df.withColumns(sums) if unique else df.groupBy(*by, *names).agg(*[v.alias(k) for k, v in sums.items()])
     placed = pinned(small.repartitionByRange(*[F.col(b) for b in by], *[c(o) for o in order])
                     .withColumn("_slice", F.spark_partition_id()))
-    one = F.lit(0) if not by else None
-    slices = placed.groupBy(*by, "_slice").agg(*[F.sum(k).alias(f"_{k}_slice") for k in sums])
-    before = (Window.partitionBy(*(by or [one])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select(*by, "_slice", *[F.coalesce(F.sum(f"_{k}_slice").over(before), F.lit(0)).alias(f"_{k}_off")
-                                            for k in sums])
+    slices = placed.groupBy(*by, "_slice").agg(*[F.sum(k).alias(f"_{k}_own") for k in sums])
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        *by, "_slice",
+        *[F.coalesce(F.sum(f"_{k}_own").over(earlier), F.lit(0)).alias(f"_{k}_off") for k in sums],
+        *[F.sum(f"_{k}_own").over(Window.partitionBy(*by)).alias(f"{k}_total") for k in sums],
+    )
     inner = Window.partitionBy(*by, "_slice").orderBy(*[c(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(slices, [*by, "_slice"])
-    for k in sums:
-        out = out.withColumn(f"{k}_before", F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(inner), F.lit(0)))
-    return out.drop("_slice", *[f"_{k}_off" for k in sums])
+    out = out.withColumns({f"{k}_before": F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(inner), F.lit(0)) for k in sums})
+    return out.drop("_slice", *[f"_{k}_off" for k in sums], *(["_all"] if alone else []))
 
 
 def add_ranks(df: DataFrame, by: list[str], value: str, descending: bool = True, prefix: str = "") -> DataFrame:
@@ -77,16 +79,14 @@ def add_ranks(df: DataFrame, by: list[str], value: str, descending: bool = True,
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, one row per group."""
     some = df.where(F.col(value).isNotNull())
-    sizes = some.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     tot = running_totals(some, by, [value], {"_n": F.count(F.lit(1))})
-    tot = tot.join(sizes, by) if by else tot.crossJoin(F.broadcast(sizes))
     first, after = F.col("_n_before"), F.col("_n_before") + F.col("_n")
     aggs = []
     for name, p in probs.items():
-        at = (F.col("_size") - 1) * F.lit(p)
+        at = (F.col("_n_total") - 1) * F.lit(p)
         for tag, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             aggs.append(F.max(F.when((first <= k) & (k < after), F.col(value))).alias(f"_{name}_{tag}"))
-    got = tot.groupBy(*by).agg(F.max("_size").alias("_size"), *aggs)
+    got = tot.groupBy(*by).agg(F.max("_n_total").alias("_size"), *aggs)
     cols = []
     for name, p in probs.items():
         at = (F.col("_size") - 1) * F.lit(p)

@@ -54,7 +54,7 @@ def shown(df: DataFrame, nd: int | dict[str, int] = 6) -> DataFrame:
     for f in df.schema.fields:
         x = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            digits = nd.get(f.name, 6) if isinstance(nd, dict) else nd
+            digits = nd.get(f.name, nd.get("*", 6)) if isinstance(nd, dict) else nd
             x = F.round(x.cast("double"), digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             x = F.date_format(x, "yyyy-MM-dd")
@@ -67,7 +67,7 @@ def shown(df: DataFrame, nd: int | dict[str, int] = 6) -> DataFrame:
 def panel_sql(src: str, cols: str, nd: int | dict[str, int] = 6, ints: str = "") -> str:
     parts = ["ticker", "strftime(date, '%Y-%m-%d') AS date"]
     for k in cols.split():
-        digits = nd.get(k, 6) if isinstance(nd, dict) else nd
+        digits = nd.get(k, nd.get("*", 6)) if isinstance(nd, dict) else nd
         parts.append(f"{sr(k, digits)} AS {k}")
     parts += [f"CAST({k} AS BIGINT) AS {k}" for k in ints.split()]
     return with_(src, f"SELECT {', '.join(parts)} FROM {src.split()[-1]}")

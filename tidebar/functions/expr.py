@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 EPS = 1e-9
 
 
+SERIES = "PARTITION BY ticker ORDER BY date"
+
+
 def c(x) -> Column:
     """A column from a name; columns pass through."""
     return F.col(x) if isinstance(x, str) else x
@@ -29,68 +32,72 @@ def by_ticker(start: int | None = None, end: int | None = None):
     return w.rowsBetween(lo, hi)
 
 
-def trailing(n: int):
-    return by_ticker(-(n - 1), 0)
+def rolling(fn: str, x: str, n: int, need: int | None = None) -> Column:
+    """Aggregate ``fn`` of ``x`` over the last ``n`` rows; null until ``need`` (default ``n``) values are present.
 
-
-def rolling(fn, x, n: int, need: int | None = None) -> Column:
-    """``fn`` over the last ``n`` rows; null until ``need`` (default ``n``) values are present."""
-    x, w = c(x), trailing(n)
-    return F.when(F.count(x).over(w) >= (n if need is None else need), fn(x).over(w))
+    Written as SQL text: a wide feature block has hundreds of these, and one parsed string costs one call into the JVM.
+    """
+    w = f"OVER ({SERIES} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    call = fn.replace("?", x) if "?" in fn else f"{fn}({x})"
+    return F.expr(f"CASE WHEN count({x}) {w} >= {n if need is None else need} THEN {call} {w} END")
 
 
 def rmean(x, n, need=None):
-    return rolling(F.avg, x, n, need)
+    return rolling("avg", x, n, need)
 
 
 def rsum(x, n, need=None):
-    return rolling(F.sum, x, n, need)
+    return rolling("sum", x, n, need)
 
 
 def rmin(x, n, need=None):
-    return rolling(F.min, x, n, need)
+    return rolling("min", x, n, need)
 
 
 def rmax(x, n, need=None):
-    return rolling(F.max, x, n, need)
+    return rolling("max", x, n, need)
 
 
 def rstd(x, n, need=None):
-    return rolling(F.stddev_samp, x, n, need)
+    return rolling("stddev_samp", x, n, need)
 
 
 def rstdp(x, n, need=None):
-    return rolling(F.stddev_pop, x, n, need)
+    return rolling("stddev_pop", x, n, need)
 
 
 def rquantile(x, n, q, need=None):
-    return rolling(lambda v: F.percentile(v, q), x, n, need)
+    return rolling(f"percentile(?, {q})", x, n, need)
 
 
-def lag(x, n: int = 1) -> Column:
-    return F.lag(c(x), n).over(by_ticker())
+def lag(x: str, n: int = 1) -> Column:
+    return F.expr(f"lag({x}, {n}) OVER ({SERIES})")
 
 
-def lead(x, n: int = 1) -> Column:
-    return F.lead(c(x), n).over(by_ticker())
+def lead(x: str, n: int = 1) -> Column:
+    return F.expr(f"lead({x}, {n}) OVER ({SERIES})")
 
 
-def diff(x, n: int = 1) -> Column:
-    return c(x) - lag(x, n)
+def diff(x: str, n: int = 1) -> Column:
+    return F.expr(f"{x} - lag({x}, {n}) OVER ({SERIES})")
 
 
 def ratio(a, b) -> Column:
     """a / b, null when b is 0 or either side is null."""
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(f"try_divide({a}, {b})")
     return F.try_divide(c(a), c(b))
 
 
 def sdiv(a, b) -> Column:
     """a / (b + 1e-9): the small constant keeps flat bars finite."""
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(f"try_divide({a}, ({b}) + 1e-9D)")
     return F.try_divide(c(a), c(b) + F.lit(EPS))
 
 
-def change(x, n: int = 1) -> Column:
-    return ratio(x, lag(x, n)) - 1
+def change(x: str, n: int = 1) -> Column:
+    return F.expr(f"try_divide({x}, lag({x}, {n}) OVER ({SERIES})) - 1")
 
 
 def clip(x, lo: float, hi: float) -> Column:
@@ -103,19 +110,18 @@ def flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0).cast("int")
 
 
-def zroll(x, n: int, need: int | None = None) -> Column:
+def zroll(x: str, n: int, need: int | None = None) -> Column:
     """Rolling z-score against the population deviation of the window."""
-    x = c(x)
     need = max(5, n // 3) if need is None else need
-    return ratio(x - rmean(x, n, need), rstdp(x, n, need))
+    return ratio(c(x) - rmean(x, n, need), rstdp(x, n, need))
 
 
-def ffill(x) -> Column:
-    return F.last(F.nanvl(c(x), F.lit(None).cast("double")), ignorenulls=True).over(by_ticker(None, 0))
+def ffill(x: str) -> Column:
+    return F.expr(f"last_value(nanvl({x}, NULL)) IGNORE NULLS OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
-def bfill(x) -> Column:
-    return F.first(F.nanvl(c(x), F.lit(None).cast("double")), ignorenulls=True).over(by_ticker(0, None))
+def bfill(x: str) -> Column:
+    return F.expr(f"first_value(nanvl({x}, NULL)) IGNORE NULLS OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 
 
 def drop_temps(df: DataFrame) -> DataFrame:

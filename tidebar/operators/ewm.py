@@ -11,49 +11,38 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.expr import by_ticker, c
+from ..functions.expr import SERIES
 
 
 def span(n: float) -> float:
     return 2.0 / (n + 1.0)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str | Column, float]], min_periods: dict[str, int] | None = None,
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], min_periods: dict[str, int] | None = None,
         block: int | None = None) -> DataFrame:
     """Add one column per ``out: (column, alpha)``; all columns share the same two extra window passes."""
     need = min_periods or {}
-    steepest = max(a for _, a in specs.values())
-    size = block or min(512, int(280 / -math.log10(1 - steepest)))
-    row = F.row_number().over(by_ticker()) - 1
-    start = {"_ew_row": row}
-    for out, (x, a) in specs.items():
-        start[f"_ew_n_{out}"] = F.count(c(x)).over(by_ticker(None, 0))
-    d = df.withColumns(start)
-    pos, blk = F.col("_ew_row") % size, F.floor(F.col("_ew_row") / size)
-    d = d.withColumns({"_ew_pos": pos, "_ew_blk": blk})
-    inside = Window.partitionBy("ticker", "_ew_blk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    size = block or min(512, int(280 / -math.log10(1 - max(a for _, a in specs.values()))))
+    upto = f"OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND %s)"
+    seen = {f"_ew_n_{k}": F.expr(f"count({x}) {upto % 'CURRENT ROW'}") for k, (x, _) in specs.items()}
+    d = df.withColumns({"_ew_row": F.expr(f"row_number() OVER ({SERIES}) - 1"), **seen})
+    d = d.withColumns({"_ew_pos": F.expr(f"_ew_row % {size}"), "_ew_blk": F.expr(f"_ew_row div {size}")})
+    inside = "OVER (PARTITION BY ticker, _ew_blk ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     sums = {}
-    for out, (x, a) in specs.items():
-        first = F.col(f"_ew_n_{out}") == 1
-        weight = F.when(first, F.lit(1.0)).otherwise(F.lit(a))
-        keep = F.lit(1.0 - a)
-        sums[f"_ew_s_{out}"] = F.sum(c(x) * weight * F.pow(keep, -F.col("_ew_pos"))).over(inside) * F.pow(keep, F.col("_ew_pos"))
+    for k, (x, a) in specs.items():
+        weight = f"CASE WHEN _ew_n_{k} = 1 THEN 1D ELSE {a!r}D END"
+        sums[f"_ew_s_{k}"] = F.expr(f"coalesce(sum({x} * {weight} * power({1 - a!r}D, -_ew_pos)) {inside} * power({1 - a!r}D, _ew_pos), 0D)")
     d = d.withColumns(sums)
     result = {}
-    for out, (x, a) in specs.items():
-        local = F.col(f"_ew_s_{out}")
-        end = F.when(F.col("_ew_pos") == size - 1, F.coalesce(local, F.lit(0.0)))
+    for k, (x, a) in specs.items():
         terms = max(1, math.ceil(math.log(1e-18) / (size * math.log(1 - a))))
-        carry = None
-        for j in range(terms):
-            t = F.coalesce(F.last(end, ignorenulls=True).over(by_ticker(None, -(1 + size * j))), F.lit(0.0))
-            t = t * F.lit((1 - a) ** (size * j))
-            carry = t if carry is None else carry + t
-        y = F.coalesce(local, F.lit(0.0)) + carry * F.pow(F.lit(1.0 - a), F.col("_ew_pos") + 1)
-        result[out] = F.when(F.col(f"_ew_n_{out}") >= max(1, need.get(out, 1)), y)
+        end = f"CASE WHEN _ew_pos = {size - 1} THEN _ew_s_{k} END"
+        carry = " + ".join(
+            f"coalesce(last_value({end}) IGNORE NULLS {upto % f'{1 + size * j} PRECEDING'}, 0D) * {(1 - a) ** (size * j)!r}D"
+            for j in range(terms))
+        result[k] = F.expr(f"CASE WHEN _ew_n_{k} >= {max(1, need.get(k, 1))} THEN _ew_s_{k} + ({carry}) * power({1 - a!r}D, _ew_pos + 1) END")
     d = d.withColumns(result)
     return d.drop(*[k for k in d.columns if k.startswith("_ew_")])

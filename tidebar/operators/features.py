@@ -41,7 +41,7 @@ def terms(df: DataFrame) -> DataFrame:
 # ---- v1 ----
 
 def returns(df: DataFrame) -> DataFrame:
-    return df.withColumns({"logret_1": F.ln("close") - lag(F.ln("close")), "ret_5": change("close", 5)})
+    return df.withColumns({"logret_1": F.ln("close") - lag("ln(close)"), "ret_5": change("close", 5)})
 
 
 def true_range(df: DataFrame) -> DataFrame:
@@ -111,14 +111,14 @@ def _channel(df: DataFrame) -> DataFrame:
 
 def stoch_v2(df: DataFrame) -> DataFrame:
     d = _channel(df)
-    k = {n: 100 * sdiv(c("close") - c(f"_lo{n}"), c(f"_hi{n}") - c(f"_lo{n}")) for n in (5, 14)}
+    k = {n: 100 * sdiv(f"close - _lo{n}", f"_hi{n} - _lo{n}") for n in (5, 14)}
     d = d.withColumns({"stochk5": k[5], "stochk14": F.coalesce(k[14], k[5])})
     d = d.withColumn("stochd14", F.coalesce(rmean("stochk14", 3), c("stochk14")))
     return d.withColumn("stoch_spread", c("stochk14") - c("stochd14"))
 
 
 def willr14(df: DataFrame) -> DataFrame:
-    r = {n: -100 * sdiv(c(f"_hi{n}") - c("close"), c(f"_hi{n}") - c(f"_lo{n}")) for n in (5, 14)}
+    r = {n: -100 * sdiv(f"_hi{n} - close", f"_hi{n} - _lo{n}") for n in (5, 14)}
     return _channel(df).withColumn("willr14", F.coalesce(r[14], r[5]))
 
 
@@ -166,7 +166,7 @@ def mfi14(df: DataFrame) -> DataFrame:
 def _money_flow(df: DataFrame) -> DataFrame:
     if "_mf" in df.columns:
         return df
-    return df.withColumn("_mf", sdiv((c("close") - c("low")) - (c("high") - c("close")), c("high") - c("low")) * c("volume"))
+    return df.withColumn("_mf", sdiv("(close - low) - (high - close)", "high - low") * c("volume"))
 
 
 def cmf20(df: DataFrame) -> DataFrame:
@@ -184,11 +184,11 @@ def volume_v2(df: DataFrame) -> DataFrame:
 
 def donchian_v2(df: DataFrame) -> DataFrame:
     d = df.withColumns({f"don{n}_{t}": f(x, n) for n in (20, 55) for t, f, x in (("hi", rmax, "high"), ("lo", rmin, "low"))})
-    return d.withColumn("pos_in_don20", sdiv(c("close") - c("don20_lo"), c("don20_hi") - c("don20_lo")))
+    return d.withColumn("pos_in_don20", sdiv("close - don20_lo", "don20_hi - don20_lo"))
 
 
 def rel_range(df: DataFrame) -> DataFrame:
-    return df.withColumn("rel_range", sdiv(c("high") - c("low"), "close"))
+    return df.withColumn("rel_range", sdiv("high - low", "close"))
 
 
 def co_moves_v2(df: DataFrame) -> DataFrame:
@@ -210,10 +210,10 @@ def curv5(df: DataFrame) -> DataFrame:
 
 def spreads_v2(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "dev_sma20": sdiv(c("close") - c("sma20"), "sma20"),
-        "dev_ema20": sdiv(c("close") - c("ema20"), "ema20"),
-        "ma_squeeze_20_50": sdiv(c("sma20") - c("sma50"), "sma50"),
-        "ema12_26_rel": sdiv(c("_ema12") - c("_ema26"), "close"),
+        "dev_sma20": sdiv("close - sma20", "sma20"),
+        "dev_ema20": sdiv("close - ema20", "ema20"),
+        "ma_squeeze_20_50": sdiv("sma20 - sma50", "sma50"),
+        "ema12_26_rel": sdiv("_ema12 - _ema26", "close"),
     })
 
 

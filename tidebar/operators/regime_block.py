@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import (
-    by_ticker, c, change, clip, diff, drop_temps, flag, lag, rmax, rmean, rmin, rolling, rquantile, rstd, rsum, sdiv,
+    by_ticker, c, change, clip, diff, drop_temps, flag, rmax, rmean, rmin, rquantile, rstd, rsum, sdiv,
 )
 from .ewm import ewm, span
 from .features import atr_v1, fill_features, macd_v2, rsi_v1, terms, volume_v2
@@ -44,8 +44,8 @@ def bollinger(df: DataFrame) -> DataFrame:
     d = df.withColumns({"bb_mid": rmean("close", 20), "bb_std": rstd("close", 20)})
     d = d.withColumns({"bb_upper": mid + 2 * std, "bb_lower": mid - 2 * std,
                        "bb_band_width": (mid + 2 * std) - (mid - 2 * std)})
-    return d.withColumns({"pos_in_band_rel": clip(sdiv(c("close") - mid, "bb_band_width"), 0.0, 1.0),
-                          "bb_width": sdiv("bb_band_width", F.abs(mid)), "close_norm": sdiv(c("close") - mid, std)})
+    return d.withColumns({"pos_in_band_rel": clip(sdiv("close - bb_mid", "bb_band_width"), 0.0, 1.0),
+                          "bb_width": sdiv("bb_band_width", "abs(bb_mid)"), "close_norm": sdiv("close - bb_mid", "bb_std")})
 
 
 def spread_slopes(df: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def event_freq20(df: DataFrame) -> DataFrame:
 
 def recent_extremes(df: DataFrame) -> DataFrame:
     d = df.withColumns({"recent_high_60": rmax("close", 60), "recent_low_60": rmin("close", 60)})
-    return d.withColumns({"recovery_from_low_60": sdiv(c("close") - c("recent_low_60"), "recent_low_60"),
-                          "distance_from_high_60": sdiv(c("close") - c("recent_high_60"), "recent_high_60")})
+    return d.withColumns({"recovery_from_low_60": sdiv("close - recent_low_60", "recent_low_60"),
+                          "distance_from_high_60": sdiv("close - recent_high_60", "recent_high_60")})
 
 
 def days_since_event(df: DataFrame) -> DataFrame:

@@ -13,24 +13,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import c
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            named = tempfile.mkdtemp(prefix="tidebar-checkpoint-")
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidebar-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder: fixed placement, short lineage, safe against lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

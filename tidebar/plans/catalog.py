@@ -1,4 +1,4 @@
 """All registered queries. Importing this module fills the registry."""
 
-from . import q_features  # noqa: F401
+from . import q_features, q_basic  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -1,4 +1,4 @@
 """All registered queries. Importing this module fills the registry."""
 
-from . import q_basic, q_features, q_panel  # noqa: F401
+from . import q_basic, q_features, q_panel, q_events  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

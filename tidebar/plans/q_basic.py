@@ -141,7 +141,7 @@ def _lake(spark, sf):
 cte("raw_ok", "raw_kr", "SELECT *, CAST(year(date) AS BIGINT) AS year FROM raw_kr WHERE date IS NOT NULL")
 
 
-@query("src_csv_batched", with_("raw_ok", "SELECT ticker, count(*) AS rows, CAST(sum(volume) AS BIGINT) AS volume, round(sum(close), 3) AS close_sum FROM raw_ok GROUP BY ticker"))
+@query("src_csv_batched", with_("raw_ok", f"SELECT ticker, count(*) AS rows, CAST(sum(volume) AS BIGINT) AS volume, {sr('sum(close)', 3)} AS close_sum FROM raw_ok GROUP BY ticker"))
 def _(spark, sf):
     path = lake.new_folder(spark, "csv")
     raw_kr(spark, sf).select("date", "open", "high", "low", "close", "volume", "value", "ticker", "_copy").write.option("header", True).csv(path)
@@ -344,7 +344,7 @@ def _(spark, sf):
     return shown(d, {"close": 8, "atr14": 4})
 
 
-@query("join_inner_key", with_("bars", "SELECT a.ticker, n, up, round(CAST(up AS DOUBLE) / n, 6) AS share FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) a "
+@query("join_inner_key", with_("bars", f"SELECT a.ticker, n, up, {sr('up / n')} AS share FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) a "
                                "JOIN (SELECT ticker, count(*) AS up FROM bars WHERE close > open GROUP BY ticker) b ON a.ticker = b.ticker"))
 def _(spark, sf):
     d = bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n"), F.count_if(F.col("close") > F.col("open")).alias("up")).where("up > 0")
@@ -420,8 +420,8 @@ def _(spark, sf):
     return inp.big_moves(spark, sf).groupBy(F.date_format("date", "yyyy-MM").alias("year_month")).agg(F.sum("big_move_event").alias("events"))
 
 
-@query("agg_summary_ticker", with_("bars", "SELECT ticker, count(close) AS close_count, round(avg(close), 2) AS close_mean, round(stddev_samp(close), 2) AS close_std, "
-                                   "round(min(close), 8) AS close_min, round(max(close), 8) AS close_max, round(avg(volume), 2) AS volume_mean, CAST(sum(volume) AS DOUBLE) AS volume_sum FROM bars GROUP BY ticker"))
+@query("agg_summary_ticker", with_("bars", f"SELECT ticker, count(close) AS close_count, {sr('avg(close)', 2)} AS close_mean, {sr('stddev_samp(close)', 2)} AS close_std, "
+                                   "round(min(close), 8) AS close_min, round(max(close), 8) AS close_max, " + sr("avg(volume)", 2) + " AS volume_mean, CAST(sum(volume) AS DOUBLE) AS volume_sum FROM bars GROUP BY ticker"))
 def _(spark, sf):
     d = bars(spark, sf).groupBy("ticker").agg(
         F.count("close").alias("close_count"), F.avg("close").alias("close_mean"), F.stddev_samp("close").alias("close_std"),
@@ -460,7 +460,7 @@ def _(spark, sf):
 CORR = ["ret_5", "rel", "volume", "turnover", "close"]
 
 
-@query("corr_matrix", with_("t", "SELECT a AS feature_a, b AS feature_b, round(r, 5) AS r, round(abs(r), 5) AS abs_r FROM (" + " UNION ALL ".join(
+@query("corr_matrix", with_("t", f"SELECT a AS feature_a, b AS feature_b, {sr('r', 5)} AS r, {sr('abs(r)', 5)} AS abs_r FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM tt" for i, a in enumerate(CORR) for b in CORR[i + 1:]) + ")").replace(
     "\nSELECT a AS", ", tt AS (SELECT ret_5, (high - low) / close AS rel, volume, turnover, close FROM t)\nSELECT a AS"))
 def _(spark, sf):
@@ -480,7 +480,7 @@ def _(spark, sf):
     return d.groupBy("market").agg(F.count("*").alias("rows"))
 
 
-@query("dedupe", "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM "
+@query("dedupe", "SELECT o_custkey, o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM "
        "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))

@@ -191,7 +191,7 @@ def _(spark, sf):
     return shown(top.unionByName(worst), P)
 
 
-@query("x_sequences", with_("x7", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(30 AS BIGINT) AS steps, round(s1, 3) + 0.0 AS rsi_sum, round(s2, 3) + 0.0 AS band_sum, round(x_label_buy_soft, 6) + 0.0 AS target FROM
+@query("x_sequences", with_("x7", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(30 AS BIGINT) AS steps, round(s1 + 3.7e-7, 3) + 0.0 AS rsi_sum, round(s2 + 3.7e-7, 3) + 0.0 AS band_sum, round(x_label_buy_soft + 3.7e-10, 6) + 0.0 AS target FROM
   (SELECT *, count(x_rsi_14) OVER w30 AS n1, count(x_pos_in_band) OVER w30 AS n2, sum(x_rsi_14) OVER w30 AS s1, sum(x_pos_in_band) OVER w30 AS s2 FROM x7 WINDOW w30 AS (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING)) WHERE n1 = 30 AND n2 = 30"""))
 def _(spark, sf):
     d = seq_windows(x.x_gauss_labels(x.explorer_core(bars(spark, sf))), ["x_rsi_14", "x_pos_in_band"], 30, "x_label_buy_soft", drop_nulls=True)

@@ -94,7 +94,7 @@ def _(spark, sf):
 
 # ---- windows for sequence models ----
 
-@query("seq_windows", with_("lab", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(y AS BIGINT) AS label, CAST(len(a) AS BIGINT) AS steps, round(list_sum(a), 3) + 0.0 AS close_sum, CAST(list_sum(v) AS BIGINT) AS volume_sum FROM
+@query("seq_windows", with_("lab", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(y AS BIGINT) AS label, CAST(len(a) AS BIGINT) AS steps, round(list_sum(a) + 3.7e-7, 3) + 0.0 AS close_sum, CAST(list_sum(v) AS BIGINT) AS volume_sum FROM
   (SELECT ticker, date, label_1d_cls AS y, list(close) OVER w AS a, list(volume) OVER w AS v FROM lab WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)) WHERE len(a) = 20"""))
 def _(spark, sf):
     d = sp.seq_windows(inp.labelled(spark, sf), ["close", "volume"], 20, "label_1d_cls")
@@ -182,7 +182,7 @@ cte("regime", "m002", """SELECT *, CASE
   ELSE 'Accumulation' END AS regime_state FROM m002""")
 
 
-@query("class_weights", with_("regime", f"""SELECT regime_state, CAST(n AS BIGINT) AS n, round(raw / avg(raw) OVER (), 6) AS weight FROM (SELECT regime_state, n, sqrt(sum(n) OVER () / n) AS raw FROM
+@query("class_weights", with_("regime", f"""SELECT regime_state, CAST(n AS BIGINT) AS n, round(raw / avg(raw) OVER () + 3.7e-10, 6) AS weight FROM (SELECT regime_state, n, sqrt(sum(n) OVER () / n) AS raw FROM
   (SELECT regime_state, coalesce(n, min(n) OVER ()) AS n FROM (SELECT unnest([{STATE_LIST}]) AS regime_state) LEFT JOIN (SELECT regime_state, count(*) AS n FROM regime GROUP BY 1) USING (regime_state)))"""))
 def _(spark, sf):
     return shown(sp.class_weights(inp.regimes(spark, sf), "regime_state", STATES))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, pinned
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -25,7 +25,8 @@ def melt_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
 def event_pred_score(df: DataFrame, features: list[str], label: str, need: int = 10) -> DataFrame:
     """Per (date, feature) with enough rows: event rate in the top fifth minus the bottom fifth by value, and whether the
     mean of positive events lies above that of negative ones (1, 0, or 0.5 when a side is missing)."""
-    long = melt_features(df, features, ["date", "ticker", label]).where(F.col("value").isNotNull() & F.col(label).isNotNull())
+    base = pinned(df.where(F.col(label).isNotNull()).select("date", "ticker", label, *features))
+    long = melt_features(base, features, ["date", label]).where(F.col("value").isNotNull())
     keys = ["date", "feature"]
     cuts = exact_quantiles(long, keys, "value", {"_hi": 0.8, "_lo": 0.2})
     y, v = F.col(label), F.col("value")
@@ -42,6 +43,7 @@ def direction_score(df: DataFrame, features: list[str], label: str, need_rows: i
     """Per (date, feature): standardised gap between the class means of events, accuracy of the midpoint rule, and the gap
     over the summed deviations."""
     y, v = F.col(label), F.col("value")
+    df = pinned(df.select("date", "ticker", label, *features))
     busy = df.groupBy("date").agg(F.count("*").alias("_rows"), F.count_if(y != 0).alias("_events")).where(
         (F.col("_rows") >= need_rows) & (F.col("_events") >= need_events)).select("date")
     events = df.where(y != 0).join(F.broadcast(busy), "date", "left_semi")

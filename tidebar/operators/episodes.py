@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import SERIES, c, ratio, zroll
 from .explorer import EVENT_ORDER
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, pinned
 
 STAT_FEATURES = ["close", "x_volume_z", "x_rsi_smooth", "x_macd_smooth", "x_atr_smooth", "x_pos_in_band_rel", "x_ema_spread_rel",
                  "x_local_vol_index"]
@@ -94,7 +94,9 @@ P = "price_change_pct"
 
 
 def ep_performance(episodes: DataFrame) -> DataFrame:
-    x = c(P)
+    """Count, mean, median, deviation and success per event type. The median needs a second look at the rows, so the three
+    columns in use are pinned."""
+    x, episodes = c(P), pinned(episodes.select("event_type", P, "duration_days"))
     s = episodes.groupBy("event_type").agg(
         F.count("*").alias("total_episodes"), F.avg(x).alias("avg_price_change"), F.stddev_samp(x).alias("std_price_change"),
         F.count_if(x > 0).alias("positive_episodes"), (F.avg((x > 0).cast("double")) * 100).alias("success_rate"),
@@ -121,6 +123,7 @@ def ep_risk(episodes: DataFrame) -> DataFrame:
     x, many = c(P), F.count("*") > 1
     sd = F.stddev_samp(x)
     return episodes.groupBy("event_type").agg(
+        F.count("*").alias("total_episodes"), F.avg(x).alias("avg_price_change"),
         F.when(many & (sd > 0), F.try_divide(F.avg(x), sd)).otherwise(0.0).alias("sharpe_ratio"), F.min(x).alias("max_drawdown"),
         (F.avg((x > 0).cast("double")) * 100).alias("win_rate"), F.when(many, sd).otherwise(0.0).alias("volatility"),
         F.max(x).alias("best_trade"), F.min(x).alias("worst_trade"))
@@ -132,7 +135,7 @@ VERDICTS = ["강력 추천", "추천", "보류", "비추천"]
 
 def ep_recommend(episodes: DataFrame) -> DataFrame:
     """Points for mean return, Sharpe ratio, win rate, worst loss and sample size, and the verdict they lead to."""
-    d = ep_distribution(episodes).select("event_type", "total_episodes", "avg_price_change").join(ep_risk(episodes), "event_type")
+    d = ep_risk(episodes)
 
     def points(x, *steps):
         out = None
@@ -164,6 +167,7 @@ def ep_redistribute(episodes: DataFrame, band: float = 0.5) -> DataFrame:
 def ep_report(episodes: DataFrame) -> DataFrame:
     """One JSON document: overall statistics, best and worst episode, the top five and the statistics per event type."""
     brief = ["episode_id", "ticker", "event_type", P, "duration_days", "start_date", "end_date"]
+    episodes = pinned(episodes.select(*brief, "feature_statistics"))
     whole = F.struct(*brief, "feature_statistics")
     tie = F.struct(c(P), c("ticker"), c("episode_id"))
     overall = episodes.groupBy().agg(

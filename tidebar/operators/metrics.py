@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import c
-from .ordered import running_totals
+from .ordered import exact_quantiles, pinned, running_totals
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -89,10 +89,8 @@ def regression(df: DataFrame, pairs: dict[str, tuple[str, str]], means: list[str
 def mean_median(df: DataFrame, cols: list[str], min_trades: int | None = None, min_drawdown: float = 1.0) -> DataFrame:
     """Mean and median of every column of a results table, one row per column. With ``min_trades`` only results with enough
     trades and a drawdown that shows the strategy was exposed are counted, and the number of rows is added."""
-    from .ordered import exact_quantiles
-
     if min_trades is not None:
         df = df.where((c("trades") >= min_trades) & (F.abs("max_drawdown_pct") >= min_drawdown))
-    long = df.select(*[c(k).cast("double").alias(k) for k in cols]).unpivot([], cols, "statistic", "value").where("value is not null")
+    long = pinned(df.select(*[c(k).cast("double").alias(k) for k in cols])).unpivot([], cols, "statistic", "value").where("value is not null")
     s = long.groupBy("statistic").agg(F.count("*").alias("count"), F.avg("value").alias("mean"))
     return s.join(exact_quantiles(long, ["statistic"], "value", {"median": 0.5}), "statistic")

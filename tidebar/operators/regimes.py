@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import by_ticker, c, change, diff, ffill, lag, ratio, rmean, rquantile, rstd
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, pinned
 
 # State names in id order.
 STATES = ["Accumulation", "EarlyUp", "Peak", "Distribution", "LateDown"]
@@ -58,7 +58,7 @@ def regime_label_simple(df: DataFrame) -> DataFrame:
     """Five states from slope, curvature, volatility, volume ratio and strength. Needs quantiles over all rows, which
     travel as one row, and rolling 60-row quantiles of the close. Missing features count as 0, as do missing quantiles
     of an unfilled window count as no match."""
-    d = simple_regime_features(df)
+    d = pinned(simple_regime_features(df))
     long = d.select(F.explode(F.array(
         F.struct(F.lit("s").alias("_k"), F.col("slope").alias("_v")), F.struct(F.lit("k").alias("_k"), F.col("curvature").alias("_v")),
         F.struct(F.lit("v").alias("_k"), F.coalesce("volatility", F.lit(0.0)).alias("_v")))).alias("_e")).select("_e.*")
@@ -97,6 +97,7 @@ def state_segments(df: DataFrame, state: str) -> DataFrame:
 
 def regime_transition(df: DataFrame, state: str) -> DataFrame:
     """Counts and probabilities of moving from one state to the next, with the mean stay of the state moved from."""
+    df = pinned(df.select("ticker", "date", state))
     d = df.withColumn("_prev", F.lag(state).over(by_ticker()))
     moves = d.where(F.col("_prev").isNotNull()).groupBy(F.col("_prev").alias("from_state"), F.col(state).alias("to_state")).agg(
         F.count("*").alias("moves"))

@@ -13,9 +13,8 @@ from ..operators import labels as lab
 from ..operators.features import atr_v1
 from ..operators.regime_block import m002_features
 from ..operators.regimes import regime_label
-from ..sources.bars import bars, table  # noqa: F401
-from .registry import cte
-from .sql_panel import WIN, D, F1, L, R, step  # noqa: F401
+from ..sources.bars import bars, table, tick_bars  # noqa: F401
+from .sql_panel import F1, step
 
 SCORES = {
     "prob": "CAST((rn * 37 + CAST(floor(close) AS BIGINT)) % 101 AS DOUBLE) / 100",
@@ -40,10 +39,6 @@ sql_scored("sc", "bars")
 sql_scored("scm", "m002")
 
 
-def panel(spark, sf) -> DataFrame:
-    return bars(spark, sf)
-
-
 def scores(spark, sf) -> DataFrame:
     return scored(bars(spark, sf))
 
@@ -57,7 +52,7 @@ def labelled(spark, sf, horizon: int = 1, thresh: float = 0.5) -> DataFrame:
     return lab.label_cls(bars(spark, sf), horizon, thresh)
 
 
-step("lab0", "bars", futret_1=f"lead(close, 1) OVER w / close - 1", futret_5="lead(close, 5) OVER w / close - 1")
+step("lab0", "bars", futret_1="lead(close, 1) OVER w / close - 1", futret_5="lead(close, 5) OVER w / close - 1")
 step("lab", "lab0", label_1d_cls="CASE WHEN futret_1 >= 0.5 THEN 1 WHEN futret_1 <= -0.5 THEN -1 ELSE 0 END",
      label_5d_cls="CASE WHEN futret_5 >= 0.5 THEN 1 WHEN futret_5 <= -0.5 THEN -1 ELSE 0 END")
 

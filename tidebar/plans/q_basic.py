@@ -12,7 +12,7 @@ from ..operators.features import atr_v1
 from ..operators.regime_block import EVENTS, m002_features
 from ..sources import lake
 from . import inputs as inp
-from .inputs import bars, table
+from .inputs import bars, table, tick_bars
 from .registry import cte, query, shown, sr, with_
 from .sql_panel import step
 
@@ -75,7 +75,7 @@ def _(spark, sf):
 # ---- raw bars, rendered as text with blanks, bad dates and repeated rows ----
 
 def raw_kr(spark, sf):
-    d = bars(spark, sf).withColumn("_copy", F.explode(F.expr("CASE WHEN close > open THEN array(0, 1) ELSE array(0) END")))
+    d = bars(spark, sf, dims=True).withColumn("_copy", F.explode(F.expr("CASE WHEN close > open THEN array(0, 1) ELSE array(0) END")))
     day = F.when(F.col("volume") % 13 == 0, "n.a.").otherwise(F.date_format("date", "yyyyMMdd"))
     text = {k: F.format_number(k, 4) for k in ("open", "high", "low", "close")}
     return d.select(day.alias("date"), *[v.alias(k) for k, v in text.items()],
@@ -92,6 +92,12 @@ SILVER_SQL = ("strftime(date, '%Y-%m-%d') AS date, open, high, low, close, {adj}
               "'{m}' AS market, {ex} AS exchange, '{cur}' AS currency, CAST(year(date) AS BIGINT) AS year")
 
 
+@query("tick_bars", """SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H:00') AS hour, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, ts) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
+def _(spark, sf):
+    return shown(tick_bars(spark, sf), 8)
+
+
 @query("norm_kr", with_("raw_kr", "SELECT " + SILVER_SQL.format(adj="close", turn="turnover", m="KR", ex="CAST(NULL AS VARCHAR)", cur="KRW")
                         + " FROM raw_kr WHERE date IS NOT NULL"))
 def _(spark, sf):
@@ -133,7 +139,7 @@ def _lake_summary(df):
 
 def _lake(spark, sf):
     root = lake.new_folder(spark, "lake")
-    b = bars(spark, sf).withColumns({"adj_close": F.col("close"), "volume": F.col("volume").cast("long")})
+    b = bars(spark, sf, dims=True).withColumns({"adj_close": F.col("close"), "volume": F.col("volume").cast("long")})
     lake.write_lake(b, root)
     return root
 
@@ -236,7 +242,7 @@ KEYS = "ticker, strftime(date, '%Y-%m-%d') AS date"
                          "AND date BETWEEN DATE '1995-03-01' AND DATE '1998-06-30' AND exchange IN (SELECT DISTINCT n_name FROM nation WHERE n_nationkey % 2 = 1)"))
 def _(spark, sf):
     ex = [f"nation_{i}" for i in range(1, 25, 2)]
-    d = cl.filter_bars(bars(spark, sf), market="europe", exchanges=ex, years=[1995, 1996, 1998], start="1995-03-01", end="1998-06-30")
+    d = cl.filter_bars(bars(spark, sf, dims=True), market="europe", exchanges=ex, years=[1995, 1996, 1998], start="1995-03-01", end="1998-06-30")
     return shown(d.select("ticker", "date", "close"), 8)
 
 
@@ -359,7 +365,7 @@ def _(spark, sf):
         up = F.count_if(F.col("close") > F.col("open")) * 2 > F.count("*")
         return d.groupBy("date").agg(F.when(up, "UP").otherwise("DOWN").alias(out))
 
-    b = bars(spark, sf)
+    b = bars(spark, sf, dims=True)
     d = breadth(b, "state_a").join(breadth(b.where(F.col("market") == "ASIA"), "state_b"), "date")
     return shown(d.withColumn("same", F.col("state_a") == F.col("state_b")))
 
@@ -475,7 +481,7 @@ def _(spark, sf):
 
 @query("union_all", with_("bars", "SELECT market, count(*) AS rows FROM (SELECT market FROM bars WHERE market = 'ASIA' UNION ALL SELECT market FROM bars WHERE market IN ('ASIA', 'EUROPE')) GROUP BY market"))
 def _(spark, sf):
-    b = bars(spark, sf)
+    b = bars(spark, sf, dims=True)
     d = b.where(F.col("market") == "ASIA").unionByName(b.where(F.col("market").isin("ASIA", "EUROPE")))
     return d.groupBy("market").agg(F.count("*").alias("rows"))
 

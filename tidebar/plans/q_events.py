@@ -162,7 +162,7 @@ cte("risk", "eps", f"SELECT event_type, count(*) AS n, CASE WHEN count(*) > 1 AN
 
 @query("ep_risk", with_("risk", "SELECT event_type, " + ", ".join(f"{sr(k, P)} AS {k}" for k in ("sharpe_ratio", "max_drawdown", "win_rate", "volatility", "best_trade", "worst_trade")) + " FROM risk"))
 def _(spark, sf):
-    return shown(ep.ep_risk(extracted(spark, sf)), P)
+    return shown(ep.ep_risk(extracted(spark, sf)).drop("total_episodes", "avg_price_change"), P)
 
 
 @query("ep_recommend", with_("risk", f"SELECT event_type, CAST(s AS DOUBLE) AS recommendation_score, CASE WHEN s >= 4 THEN '{ep.VERDICTS[0]}' WHEN s >= 3 THEN '{ep.VERDICTS[1]}' WHEN s >= 2 THEN '{ep.VERDICTS[2]}' ELSE '{ep.VERDICTS[3]}' END AS recommendation, "

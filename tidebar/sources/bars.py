@@ -15,18 +15,28 @@ def week_start(d):
     return F.date_sub(d, F.weekday(d))
 
 
-def bars(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
-    """Weekly open/high/low/close/volume bars, one series per supplier.
+def line_order():
+    """Order of the line items of one week as one number: weekday, order, line, part, price in cents.
+
+    A struct would say the same, but hash aggregation keeps only flat values, and a struct would make it sort every line
+    item first. Keys beyond the digits given to them raise an overflow error.
+    """
+    near = F.weekday(F.col("l_shipdate").cast("date")).cast("long") * 10**15 + F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    far = F.col("l_partkey").cast("decimal(11,0)") * F.lit(10**10).cast("decimal(11,0)") + F.round(F.col("l_extendedprice") * 100).cast("decimal(10,0)")
+    return (near.cast("decimal(16,0)") * F.lit(10**11).cast("decimal(12,0)") * F.lit(10**10).cast("decimal(11,0)") + far).cast("decimal(38,0)")
+
+
+def bars(spark: SparkSession, sf_dir: str, dims: bool = False) -> DataFrame:
+    """Weekly open/high/low/close/volume bars, one series per supplier; with ``dims`` also market, exchange and currency.
 
     The grouping combines on the map side, so a supplier holding most of the line items still sends only one partial
     row per week and task. Afterwards (ticker, date) is unique.
     """
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     weekly = (
-        li.select("l_suppkey", week_start(F.col("l_shipdate")).alias("date"), price.alias("px"), order.alias("o"),
-                  "l_quantity", "l_extendedprice")
+        li.select("l_suppkey", week_start(F.col("l_shipdate")).alias("date"), price.alias("px"), line_order().alias("o"),
+                  "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("paid"))
         .groupBy("l_suppkey", "date")
         .agg(
             F.min_by("px", "o").alias("open"),
@@ -34,7 +44,7 @@ def bars(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
             F.min("px").alias("low"),
             F.max_by("px", "o").alias("close"),
             F.sum("l_quantity").alias("volume"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("turnover"),
+            F.sum("paid").cast("double").alias("turnover"),
         )
     )
     out = weekly.select(

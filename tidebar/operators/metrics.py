@@ -26,23 +26,23 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 def _by_score(df: DataFrame, label: str, score: str, by: list[str], descending: bool) -> DataFrame:
     y = c(label) == 1
     order = F.col(score).desc() if descending else F.col(score).asc()
-    return running_totals(df.where(c(score).isNotNull() & c(label).isNotNull()), by, [order], {"p": F.count_if(y), "n": F.count_if(~y)}, keep=[score])
+    return running_totals(df.where(c(score).isNotNull() & c(label).isNotNull()), by, [order], {"_p": F.count_if(y), "_n": F.count_if(~y)}, keep=[score])
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties counting half, from counts per distinct score."""
     t = _by_score(df, label, score, by or [], False)
-    won = F.sum((c("p") * (c("n_before") + c("n") / 2)).cast("double"))
-    return t.groupBy(*(by or [])).agg(F.try_divide(won, (F.max("p_total") * F.max("n_total")).cast("double")).alias("roc_auc"))
+    won = F.sum(c("_p").cast("double") * (c("_n_before") + c("_n") / 2))
+    return t.groupBy(*(by or [])).agg(F.try_divide(won, F.max("_p_total").cast("double") * F.max("_n_total")).alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Area under precision over recall by trapezoids, and average precision."""
     t = _by_score(df, label, score, by or [], True)
-    tp, seen = c("p_before") + c("p"), c("p_before") + c("p") + c("n_before") + c("n")
+    tp, seen = c("_p_before") + c("_p"), c("_p_before") + c("_p") + c("_n_before") + c("_n")
     prec = tp / seen
-    prev = F.coalesce(F.try_divide(c("p_before"), c("p_before") + c("n_before")), F.lit(1.0))
-    step = F.try_divide(c("p"), c("p_total"))
+    prev = F.coalesce(F.try_divide(c("_p_before"), c("_p_before") + c("_n_before")), F.lit(1.0))
+    step = F.try_divide(c("_p"), c("_p_total"))
     return t.groupBy(*(by or [])).agg(F.sum(step * (prec + prev) / 2).alias("pr_auc"), F.sum(step * prec).alias("average_precision"))
 
 

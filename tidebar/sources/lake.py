@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.clean import filter_bars, keep_last, norm_kr, norm_us, sample_tickers
+from ..operators.clean import filter_bars, norm_kr, norm_us, sample_tickers
 from ..operators.ordered import shared_folder
 
 KR_FIELDS = ["date", "open", "high", "low", "close", "volume", "value"]
@@ -121,26 +121,27 @@ def stats_source(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("feature", "s.mean", F.when(F.abs("s.std") > 1e-12, F.col("s.std")).otherwise(1.0).alias("std"))
 
 
-EPISODE_SCHEMA = ("episode_id bigint, ticker string, event_type string, episode_label string, start_date string, end_date string, "
-                  "duration_days bigint, price_change_pct double, max_price_range_pct double, data_points bigint, "
-                  "feature_statistics map<string, struct<mean: double, std: double, min: double, max: double, start: double, end: double>>, "
-                  "event_signals map<string, struct<active_periods: double, max_intensity: double, avg_intensity: double>>, mode string")
+STATS = "map<string, struct<mean: double, std: double, min: double, max: double, start: double, end: double>>"
+SIGNALS = "map<string, struct<active_periods: double, max_intensity: double, avg_intensity: double>>"
+EPISODE_FIELDS = {
+    "episode_id": "bigint", "ticker": "string", "event_type": "string", "episode_label": "string", "start_date": "string", "end_date": "string",
+    "duration_days": "bigint", "price_change_pct": "double", "max_price_range_pct": "double", "data_points": "bigint",
+    "feature_statistics": STATS, "event_signals": SIGNALS, "mode": "string",
+}
 
 
 def episodes_source(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
-    """Episodes from JSON lines, or from one nested document with an ``episodes`` list."""
+    """Episodes from JSON lines, or from one nested document with an ``episodes`` list. A document is read by one task, so
+    only lines suit a large table."""
     if document:
-        df = spark.read.schema(f"episodes array<struct<{EPISODE_SCHEMA.replace(' bigint', ': bigint').replace(' string', ': string').replace(' double,', ': double,').replace('feature_statistics map', 'feature_statistics: map').replace('event_signals map', 'event_signals: map')}>>").option("multiLine", True).json(path)
+        one = ", ".join(f"{k}: {t}" for k, t in EPISODE_FIELDS.items())
+        df = spark.read.schema(f"episodes array<struct<{one}>>").option("multiLine", True).json(path)
         df = df.select(F.explode("episodes").alias("e")).select("e.*")
     else:
-        df = spark.read.schema(EPISODE_SCHEMA).json(path)
+        df = spark.read.schema(", ".join(f"{k} {t}" for k, t in EPISODE_FIELDS.items())).json(path)
     return df.withColumns({k: F.to_date(k) for k in ("start_date", "end_date")}).drop("mode")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     out = df.write.mode("overwrite")
     out.option("header", True).csv(path) if fmt == "csv" else out.json(path)
-
-
-def last_per_key(df: DataFrame, seq: str) -> DataFrame:
-    return keep_last(df, ["market", "ticker", "date"], [F.col(seq)])

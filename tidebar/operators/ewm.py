@@ -30,11 +30,14 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], min_periods: dict[st
     seen = {f"_ew_n_{k}": F.expr(f"count({x}) {upto % 'CURRENT ROW'}") for k, (x, _) in specs.items()}
     d = df.withColumns({"_ew_row": F.expr(f"row_number() OVER ({SERIES}) - 1"), **seen})
     d = d.withColumns({"_ew_pos": F.expr(f"_ew_row % {size}"), "_ew_blk": F.expr(f"_ew_row div {size}")})
+    alphas = sorted({a for _, a in specs.values()})
+    d = d.withColumns({f"_ew_p{i}": F.expr(f"power({1 - a!r}D, _ew_pos)") for i, a in enumerate(alphas)})
     inside = "OVER (PARTITION BY ticker, _ew_blk ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     sums = {}
     for k, (x, a) in specs.items():
         weight = f"CASE WHEN _ew_n_{k} = 1 THEN 1D ELSE {a!r}D END"
-        sums[f"_ew_s_{k}"] = F.expr(f"coalesce(sum({x} * {weight} * power({1 - a!r}D, -_ew_pos)) {inside} * power({1 - a!r}D, _ew_pos), 0D)")
+        power = f"_ew_p{alphas.index(a)}"
+        sums[f"_ew_s_{k}"] = F.expr(f"coalesce(sum({x} * {weight} / {power}) {inside} * {power}, 0D)")
     d = d.withColumns(sums)
     result = {}
     for k, (x, a) in specs.items():
@@ -43,6 +46,6 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], min_periods: dict[st
         carry = " + ".join(
             f"coalesce(last_value({end}) IGNORE NULLS {upto % f'{1 + size * j} PRECEDING'}, 0D) * {(1 - a) ** (size * j)!r}D"
             for j in range(terms))
-        result[k] = F.expr(f"CASE WHEN _ew_n_{k} >= {max(1, need.get(k, 1))} THEN _ew_s_{k} + ({carry}) * power({1 - a!r}D, _ew_pos + 1) END")
+        result[k] = F.expr(f"CASE WHEN _ew_n_{k} >= {max(1, need.get(k, 1))} THEN _ew_s_{k} + ({carry}) * _ew_p{alphas.index(a)} * {1 - a!r}D END")
     d = d.withColumns(result)
     return d.drop(*[k for k in d.columns if k.startswith("_ew_")])

@@ -3,17 +3,23 @@
 Each function takes and returns a panel. Working columns start with an underscore, are shared between the functions
 and go away with ``drop_temps``. Features not asked for cost nothing: the optimizer prunes their window expressions.
 
+A window pass copies every row once per frame, so wide panels want few passes. A group of features is written as layers
+of columns, each reading the ones before it; a block merges the layers of all its groups, and each merged layer is one
+window pass over the series.
+
 Three names are kept although the value is not the textbook one, because results must match: the rolling correlations
 use each row's own rolling mean, the directional index divides a sum by a mean, and aroon, psar and kama are proxies.
 """
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import (
-    by_ticker, c, change, diff, drop_temps, ffill, lag, ratio, rmax, rmean, rmin, rstd, rsum, sdiv,
+    SERIES, c, change, diff, drop_temps, ffill, lag, ratio, rmax, rmean, rmin, rstd, rsum, sdiv,
 )
 from .ewm import ewm, span
 
@@ -38,96 +44,123 @@ def terms(df: DataFrame) -> DataFrame:
     )
 
 
+def in_layers(df: DataFrame, groups) -> DataFrame:
+    """Apply groups of layered columns together: first layers first, in one pass, then second layers, and so on."""
+    d = terms(df)
+    for layer in zip_longest(*[g.layers() for g in groups], fillvalue={}):
+        merged = {}
+        for cols in layer:
+            merged.update(cols)
+        d = d.withColumns(merged)
+    return d
+
+
+def group(layers):
+    """A panel operator from a function that lists its layers of columns."""
+
+    def run(df: DataFrame) -> DataFrame:
+        return in_layers(df, [run])
+
+    run.layers, run.__name__, run.__doc__ = layers, layers.__name__, layers.__doc__
+    return run
+
+
 # ---- v1 ----
 
-def returns(df: DataFrame) -> DataFrame:
-    return df.withColumns({"logret_1": F.ln("close") - lag("ln(close)"), "ret_5": change("close", 5)})
+@group
+def returns():
+    return [{"logret_1": F.ln("close") - lag("ln(close)"), "ret_5": change("close", 5)}]
 
 
-def true_range(df: DataFrame) -> DataFrame:
-    return terms(df).withColumn("true_range", c("_tr"))
+@group
+def true_range():
+    return [{"true_range": c("_tr")}]
 
 
-def atr_v1(df: DataFrame) -> DataFrame:
+@group
+def atr_v1():
     """Mean true range over 5, 10 and 14 rows; while a window fills, the next shorter one stands in."""
     m5, m10, m14 = (rmean("_tr", n) for n in (5, 10, 14))
-    return terms(df).withColumns({"atr5": F.coalesce(m5, c("_tr")), "atr10": F.coalesce(m10, m5), "atr14": F.coalesce(m14, m10)})
+    return [{"atr5": F.coalesce(m5, c("_tr")), "atr10": F.coalesce(m10, m5), "atr14": F.coalesce(m14, m10)}]
 
 
-def vwap_v1(df: DataFrame) -> DataFrame:
-    d = terms(df).withColumns({"_v0": F.coalesce(c("volume").cast("double"), F.lit(0.0))})
-    d = d.withColumn("_pv0", c("_tp") * c("_v0"))
-    v10, v20 = (sdiv(rsum("_pv0", n), rsum("_v0", n)) for n in (10, 20))
-    return d.withColumns({"vwap10": v10, "vwap20": F.coalesce(v20, v10)})
+@group
+def vwap_v1():
+    v = "coalesce(volume, 0D)"
+    v10, v20 = (sdiv(rsum(f"(_tp * {v})", n), rsum(v, n)) for n in (10, 20))
+    return [{"vwap10": v10, "vwap20": F.coalesce(v20, v10)}]
 
 
 def _strength(gain, loss):
     return 100 - ratio(F.lit(100.0), 1 + sdiv(gain, loss))
 
 
-def rsi_v1(df: DataFrame) -> DataFrame:
+def _short_strength(n: int):
+    return _strength(F.coalesce(rmean("_gain", n), c("_gain")), F.coalesce(rmean("_loss", n), c("_loss")))
+
+
+@group
+def rsi_v1():
     """Relative strength from plain rolling means, each window falling back one step while it fills."""
     g = {n: rmean("_gain", n) for n in (5, 10, 14)}
     s = {n: rmean("_loss", n) for n in (5, 10, 14)}
-    g5, s5 = F.coalesce(g[5], c("_gain")), F.coalesce(s[5], c("_loss"))
-    return terms(df).withColumns({
-        "rsi5": _strength(g5, s5),
-        "rsi10": _strength(F.coalesce(g[10], g5), F.coalesce(s[10], s5)),
+    return [{
+        "rsi5": _short_strength(5),
+        "rsi10": _strength(F.coalesce(g[10], g[5], c("_gain")), F.coalesce(s[10], s[5], c("_loss"))),
         "rsi14": _strength(F.coalesce(g[14], g[10]), F.coalesce(s[14], s[10])),
-    })
+    }]
+
+
+V1_GROUPS = (returns, atr_v1, vwap_v1, rsi_v1)
 
 
 def core_features(df: DataFrame) -> DataFrame:
-    for step in (returns, atr_v1, vwap_v1, rsi_v1):
-        df = step(df)
-    return df
+    return in_layers(df, V1_GROUPS)
 
 
 # ---- v2 ----
 
-def sma_v2(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"sma{n}": rmean("close", n) for n in (5, 10, 20, 50)})
+@group
+def sma_v2():
+    return [{f"sma{n}": rmean("close", n) for n in (5, 10, 20, 50)}]
 
 
 def ema_v2(df: DataFrame, extra: dict | None = None) -> DataFrame:
     return ewm(df, {**{f"ema{n}": ("close", span(n)) for n in (5, 10, 20, 50)}, **(extra or {})})
 
 
-def roc_v2(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"roc{n}": change("close", n) for n in (5, 10, 20)})
+@group
+def roc_v2():
+    return [{f"roc{n}": change("close", n) for n in (5, 10, 20)}]
 
 
-def rsi6(df: DataFrame) -> DataFrame:
-    g = F.coalesce(rmean("_gain", 6), c("_gain"))
-    s = F.coalesce(rmean("_loss", 6), c("_loss"))
-    return terms(df).withColumn("rsi6", _strength(g, s))
+@group
+def rsi6():
+    return [{"rsi6": _short_strength(6)}]
 
 
-def _channel(df: DataFrame) -> DataFrame:
-    if "_hi14" in df.columns:
-        return df
-    return df.withColumns({f"_{t}{n}": f(x, n) for n in (5, 14) for t, f, x in (("hi", rmax, "high"), ("lo", rmin, "low"))})
+def _channel():
+    return {f"_{t}{n}": f(x, n) for n in (5, 14) for t, f, x in (("hi", rmax, "high"), ("lo", rmin, "low"))}
 
 
-def stoch_v2(df: DataFrame) -> DataFrame:
-    d = _channel(df)
+@group
+def stoch_v2():
     k = {n: 100 * sdiv(f"close - _lo{n}", f"_hi{n} - _lo{n}") for n in (5, 14)}
-    d = d.withColumns({"stochk5": k[5], "stochk14": F.coalesce(k[14], k[5])})
-    d = d.withColumn("stochd14", F.coalesce(rmean("stochk14", 3), c("stochk14")))
-    return d.withColumn("stoch_spread", c("stochk14") - c("stochd14"))
+    d = F.coalesce(rmean("stochk14", 3), c("stochk14"))
+    return [_channel(), {"stochk5": k[5], "stochk14": F.coalesce(k[14], k[5])}, {"stochd14": d, "stoch_spread": c("stochk14") - d}]
 
 
-def willr14(df: DataFrame) -> DataFrame:
+@group
+def willr14():
     r = {n: -100 * sdiv(f"_hi{n} - close", f"_hi{n} - _lo{n}") for n in (5, 14)}
-    return _channel(df).withColumn("willr14", F.coalesce(r[14], r[5]))
+    return [_channel(), {"willr14": F.coalesce(r[14], r[5])}]
 
 
-def cci20(df: DataFrame) -> DataFrame:
+@group
+def cci20():
     """Commodity channel index; every deviation is taken against the mean of its own day."""
-    d = terms(df).withColumns({f"_tpm{n}": rmean("_tp", n) for n in (10, 20)})
-    d = d.withColumns({f"_tpd{n}": F.abs(c("_tp") - c(f"_tpm{n}")) for n in (10, 20)})
-    v = {n: sdiv(c("_tp") - c(f"_tpm{n}"), 0.015 * rmean(f"_tpd{n}", n)) for n in (10, 20)}
-    return d.withColumn("cci20", F.coalesce(v[20], v[10]))
+    v = {n: sdiv(c("_tp") - c(f"_tpm{n}"), 0.015 * rmean(f"abs(_tp - _tpm{n})", n)) for n in (10, 20)}
+    return [{f"_tpm{n}": rmean("_tp", n) for n in (10, 20)}, {"cci20": F.coalesce(v[20], v[10])}]
 
 
 MACD_EMAS = {"_ema12": ("close", span(12)), "_ema26": ("close", span(26))}
@@ -139,73 +172,78 @@ def macd_v2(df: DataFrame) -> DataFrame:
     return ewm(d, {"macd_signal": ("macd", span(9))}).withColumn("macd_hist", c("macd") - c("macd_signal"))
 
 
-def volatility_v2(df: DataFrame) -> DataFrame:
+@group
+def volatility_v2():
     """Deviation of log returns, two range-based estimators and the mean true range."""
-    d = terms(df if "logret_1" in df.columns else returns(df))
-    hl, co = F.pow(F.ln(ratio("high", "low")), 2), F.pow(F.ln(ratio("close", "open")), 2)
-    ln2 = F.lit(0.6931471805599453)
-    d = d.withColumns({"_pk": hl / (4.0 * ln2), "_gk": 0.5 * hl - (2.0 * ln2 - 1.0) * co})
-    return d.withColumns({"vol10": rstd("logret_1", 10), "vol20": rstd("logret_1", 20), "parkinson20": rmean("_pk", 20),
-                          "gk20": rmean("_gk", 20), "tr14": rmean("_tr", 14)})
+    ln2 = "0.6931471805599453D"
+    hl, co = "power(ln(try_divide(high, low)), 2)", "power(ln(try_divide(close, open)), 2)"
+    return [{"_lr": F.ln("close") - lag("ln(close)"), "parkinson20": rmean(f"({hl} / (4D * {ln2}))", 20),
+             "gk20": rmean(f"(0.5D * {hl} - (2D * {ln2} - 1D) * {co})", 20), "tr14": rmean("_tr", 14)},
+            {"vol10": rstd("_lr", 10), "vol20": rstd("_lr", 20)}]
 
 
-def obv(df: DataFrame) -> DataFrame:
-    v = c("volume")
-    signed = F.when(c("close") > c("_pc"), v).when(c("close") < c("_pc"), -v).otherwise(0)
-    return terms(df).withColumn("obv", F.sum(signed).over(by_ticker(None, 0)))
+def _obv():
+    return F.expr("sum(CASE WHEN close > _pc THEN volume WHEN close < _pc THEN -volume ELSE 0D END) "
+                  f"OVER ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
-def mfi14(df: DataFrame) -> DataFrame:
-    d = terms(df).withColumn("_tp1", lag("_tp"))
-    up = F.when(c("_tp") > c("_tp1"), c("_pv")).otherwise(0.0)
-    down = F.when(c("_tp") < c("_tp1"), c("_pv")).otherwise(0.0)
-    d = d.withColumns({"_up": up, "_down": down})
-    return d.withColumn("mfi14", _strength(rsum("_up", 14), rsum("_down", 14)))
+@group
+def obv():
+    return [{"obv": _obv()}]
 
 
-def _money_flow(df: DataFrame) -> DataFrame:
-    if "_mf" in df.columns:
-        return df
-    return df.withColumn("_mf", sdiv("(close - low) - (high - close)", "high - low") * c("volume"))
+@group
+def mfi14():
+    up, down = (rsum(f"(CASE WHEN _tp {op} _tp1 THEN _pv ELSE 0D END)", 14) for op in "><")
+    return [{"_tp1": lag("_tp")}, {"mfi14": _strength(up, down)}]
+
+
+MONEY_FLOW = "(try_divide((close - low) - (high - close), high - low + 1e-9D) * volume)"
 
 
-def cmf20(df: DataFrame) -> DataFrame:
-    return _money_flow(df).withColumn("cmf20", sdiv(rsum("_mf", 20), rsum("volume", 20)))
+@group
+def cmf20():
+    return [{"cmf20": sdiv(rsum(MONEY_FLOW, 20), rsum("volume", 20))}]
 
 
-def vwap_v2(df: DataFrame) -> DataFrame:
-    return terms(df).withColumns({f"vwap{n}": sdiv(rsum("_pv", n), rsum("volume", n)) for n in (10, 20)})
+@group
+def vwap_v2():
+    return [{f"vwap{n}": sdiv(rsum("_pv", n), rsum("volume", n)) for n in (10, 20)}]
 
 
-def volume_v2(df: DataFrame) -> DataFrame:
-    return df.withColumns({"vol_z20": sdiv(c("volume") - rmean("volume", 20), rstd("volume", 20)),
-                           "vol_roc5": sdiv("volume", lag("volume", 5)) - 1})
+@group
+def volume_v2():
+    return [{"vol_z20": sdiv(c("volume") - rmean("volume", 20), rstd("volume", 20)), "vol_roc5": sdiv(c("volume"), lag("volume", 5)) - 1}]
 
 
-def donchian_v2(df: DataFrame) -> DataFrame:
-    d = df.withColumns({f"don{n}_{t}": f(x, n) for n in (20, 55) for t, f, x in (("hi", rmax, "high"), ("lo", rmin, "low"))})
-    return d.withColumn("pos_in_don20", sdiv("close - don20_lo", "don20_hi - don20_lo"))
+@group
+def donchian_v2():
+    d = {f"don{n}_{t}": f(x, n) for n in (20, 55) for t, f, x in (("hi", rmax, "high"), ("lo", rmin, "low"))}
+    return [d, {"pos_in_don20": sdiv("close - don20_lo", "don20_hi - don20_lo")}]
 
 
-def rel_range(df: DataFrame) -> DataFrame:
-    return df.withColumn("rel_range", sdiv("high - low", "close"))
+@group
+def rel_range():
+    return [{"rel_range": sdiv("high - low", "close")}]
 
 
-def co_moves_v2(df: DataFrame) -> DataFrame:
+@group
+def co_moves_v2():
     """Close against volume and obv against vwap20: mean product of own-day deviations over the rolling deviations."""
-    d = df if "obv" in df.columns else obv(df)
-    d = d if "vwap20" in d.columns else vwap_v2(d)
-    pairs = {"corr_close_vol20": ("close", "volume"), "corr_obv_vwap20": ("obv", "vwap20")}
-    dev = {f"_dev_{x}": c(x) - rmean(x, 20) for p in pairs.values() for x in p}
-    std = {f"_std_{x}": rstd(x, 20) for p in pairs.values() for x in p}
-    d = d.withColumns({**dev, **std})
-    d = d.withColumns({f"_co_{k}": c(f"_dev_{x}") * c(f"_dev_{y}") for k, (x, y) in pairs.items()})
-    return d.withColumns({k: sdiv(rmean(f"_co_{k}", 20), c(f"_std_{x}") * c(f"_std_{y}")) for k, (x, y) in pairs.items()})
 
+    def own(*names):
+        return {**{f"_dev_{x}": c(x) - rmean(x, 20) for x in names}, **{f"_std_{x}": rstd(x, 20) for x in names}}
 
-def curv5(df: DataFrame) -> DataFrame:
-    d = terms(df)
-    return d.withColumn("_d2", diff("_chg")).withColumn("curv5", rmean("_d2", 5))
+    def pair(x, y):
+        return sdiv(rmean(f"(_dev_{x} * _dev_{y})", 20), c(f"_std_{x}") * c(f"_std_{y}"))
+
+    return [{**own("close", "volume"), "obv": _obv(), "vwap20": vwap_v2.layers()[0]["vwap20"]},
+            {**own("obv", "vwap20"), "corr_close_vol20": pair("close", "volume")}, {"corr_obv_vwap20": pair("obv", "vwap20")}]
+
+
+@group
+def curv5():
+    return [{"_chg1": lag("_chg")}, {"curv5": rmean("(_chg - _chg1)", 5)}]
 
 
 def spreads_v2(df: DataFrame) -> DataFrame:
@@ -225,65 +263,62 @@ def fill_features(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumns({k: F.coalesce(ffill(k), F.lit(0.0)) for k in cols})
 
 
-V2_STEPS = (sma_v2, roc_v2, rsi6, stoch_v2, willr14, cci20, volatility_v2, obv, mfi14, cmf20, vwap_v2, volume_v2,
-            donchian_v2, rel_range, co_moves_v2, curv5)
+V2_GROUPS = (sma_v2, roc_v2, rsi6, stoch_v2, willr14, cci20, volatility_v2, obv, mfi14, cmf20, vwap_v2, volume_v2, donchian_v2, rel_range,
+             co_moves_v2, curv5)
 
 
 def v2_features(df: DataFrame) -> DataFrame:
-    """All v2 features on top of v1, filled."""
-    df = macd_v2(ema_v2(df, MACD_EMAS))
-    for step in V2_STEPS:
-        df = step(df)
-    return drop_temps(fill_features(spreads_v2(df)))
+    """All v2 features on top of v1, filled. The exponential means come first, while rows are narrow."""
+    return drop_temps(fill_features(spreads_v2(in_layers(macd_v2(ema_v2(df, MACD_EMAS)), V2_GROUPS))))
 
 
 # ---- v3 ----
 
-def dm_v3(df: DataFrame) -> DataFrame:
-    up, down = c("high") - lag("high"), lag("low") - c("low")
-    d = terms(df).withColumns({"_hmove": up, "_lmove": down})
+@group
+def dm_v3():
+    up, down = diff("high"), lag("low") - c("low")
     u, w = c("_hmove"), c("_lmove")
-    return d.withColumns({"plus_dm": F.when((u > w) & (u > 0), u).otherwise(0.0),
-                          "minus_dm": F.when((w > u) & (w > 0), w).otherwise(0.0)})
+    return [{"_hmove": up, "_lmove": down}, {"plus_dm": F.when((u > w) & (u > 0), u).otherwise(0.0), "minus_dm": F.when((w > u) & (w > 0), w).otherwise(0.0)}]
 
 
-def di_v3(df: DataFrame) -> DataFrame:
+@group
+def di_v3():
     def di(x, n):
         return 100 * sdiv(rsum(x, n), rmean("_tr", n))
 
-    return dm_v3(df).withColumns({"plus_di14": F.coalesce(di("plus_dm", 14), di("plus_dm", 5)),
-                                  "minus_di14": F.coalesce(di("minus_dm", 14), di("minus_dm", 5))})
+    return [*dm_v3.layers(), {f"{s}_di14": F.coalesce(di(f"{s}_dm", 14), di(f"{s}_dm", 5)) for s in ("plus", "minus")}]
 
 
-def adx14(df: DataFrame) -> DataFrame:
-    p, m = c("plus_di14"), c("minus_di14")
-    d = di_v3(df).withColumn("_dx", 100 * sdiv(F.abs(p - m), p + m))
-    return d.withColumn("adx14", F.coalesce(rmean("_dx", 14), rmean("_dx", 5)))
+@group
+def adx14():
+    dx = "(100 * try_divide(abs(plus_di14 - minus_di14), plus_di14 + minus_di14 + 1e-9D))"
+    return [*di_v3.layers(), {"adx14": F.coalesce(rmean(dx, 14), rmean(dx, 5))}]
 
 
-def v_pattern(df: DataFrame) -> DataFrame:
-    v = {n: sdiv(rsum("_mfx", n), rsum("volume", n)) for n in (10, 20)}
-    d = _money_flow(df).withColumn("_mfx", sdiv("_mf", F.lit(1.0)))
-    return d.withColumn("v_pattern", F.coalesce(v[20], v[10]))
+@group
+def v_pattern():
+    v = {n: sdiv(rsum(f"({MONEY_FLOW} / (1D + 1e-9D))", n), rsum("volume", n)) for n in (10, 20)}
+    return [{"v_pattern": F.coalesce(v[20], v[10])}]
 
 
-def v2_pattern(df: DataFrame) -> DataFrame:
-    d = terms(df)
-    if "_obv" not in d.columns:
-        d = obv(d.withColumnRenamed("obv", "_keep")).withColumnRenamed("obv", "_obv").withColumnRenamed("_keep", "obv")
+@group
+def v2_pattern():
     v = {n: sdiv(rsum("_pv", n), rsum("volume", n)) for n in (10, 20)}
-    return d.withColumn("v2_pattern", diff("_obv", 5) * (c("close") - F.coalesce(v[20], v[10])))
+    return [{"_obv": _obv(), "_vw": F.coalesce(v[20], v[10])}, {"v2_pattern": diff("_obv", 5) * (c("close") - c("_vw"))}]
+
+
+@group
+def rsi5_v3():
+    return [{"rsi5": _short_strength(5)}]
 
 
-def rsi5_v3(df: DataFrame) -> DataFrame:
-    g = F.coalesce(rmean("_gain", 5), c("_gain"))
-    s = F.coalesce(rmean("_loss", 5), c("_loss"))
-    return terms(df).withColumn("rsi5", _strength(g, s))
+@group
+def means_v3():
+    return [{"atr5": rmean("_tr", 5), "psar_proxy": rmean("close", 5)}]
 
 
 def ema_atr_v3(df: DataFrame) -> DataFrame:
-    d = ewm(terms(df), {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)})
-    return d.withColumns({"atr5": rmean("_tr", 5), "psar_proxy": rmean("close", 5)})
+    return means_v3(ewm(df, {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)}))
 
 
 def aroon_v3(df: DataFrame) -> DataFrame:
@@ -291,11 +326,13 @@ def aroon_v3(df: DataFrame) -> DataFrame:
     return d.withColumns({"aroon_up20": c("pos_in_don20") * 100, "aroon_dn20": (1 - c("pos_in_don20")) * 100})
 
 
+V3_GROUPS = (adx14, v_pattern, v2_pattern, rsi5_v3, means_v3)
+
+
 def v3_features(df: DataFrame) -> DataFrame:
     """All v3 features on top of v2, filled. The directional movements themselves are working columns."""
-    for step in (adx14, v_pattern, v2_pattern, rsi5_v3, ema_atr_v3, aroon_v3):
-        df = step(df)
-    return drop_temps(fill_features(df.drop("plus_dm", "minus_dm")))
+    d = ewm(df, {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)})
+    return drop_temps(fill_features(aroon_v3(in_layers(d, V3_GROUPS)).drop("plus_dm", "minus_dm")))
 
 
 def add_feature_set(df: DataFrame, feature_set: str = "v1") -> DataFrame:

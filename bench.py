@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "src_ingest_tree", "sink_partitioned", "src_load_silver", "agg_event_rate_date", "atr_v1", "rsi_v1", "macd_v2", "v2_fill", "v3_fill",
+    "norm_kr", "sink_partitioned", "src_load_silver", "agg_event_rate_date", "atr_v1", "rsi_v1", "macd_v2", "v2_fill", "v3_fill",
     "feature_set", "label_cls", "split_walk_forward", "turnover_rank_avg", "topn_per_date", "explorer_features", "episode_assign",
     "ep_performance", "regime_label", "policy_action", "policy_grid", "perf_stats", "metric_roc_auc", "event_pred_score", "direction_score",
 ]

@@ -194,7 +194,7 @@ def _(spark, sf):
 FEATS = ["atr5", "atr14"]
 
 
-@query("ds_cache")
+@query("ds_cache", with_("v1", f"SELECT ticker, count(*) AS rows, {sr('avg(atr14)', 3)} AS mean_atr14 FROM v1 GROUP BY ticker"))
 def _(spark, sf):
     root = _lake(spark, sf)
     folder = lake.new_folder(spark, "cache")
@@ -206,7 +206,7 @@ def _(spark, sf):
     version = lake.lake_version(spark, root)
     lake.cached_dataset(spark, folder, params, version, build)
     hit = lake.cached_dataset(spark, folder, params, version, lambda: 1 / 0)
-    return hit.groupBy("ticker").agg(F.count("*").alias("rows"), F.round(F.avg("atr14"), 3).alias("mean_atr14"))
+    return shown(hit.groupBy("ticker").agg(F.count("*").alias("rows"), F.avg("atr14").alias("mean_atr14")), 3)
 
 
 @query("stats_source", with_("v1", " UNION ALL ".join(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.expr import drop_temps
+from pyspark.sql import functions as F
+
+from ..functions.expr import SERIES
 from ..operators import features as f
 from ..operators import regime_block as m
+from ..operators.ewm import ewm
 from . import sql_panel as sp
 from .registry import panel_query as pq
 
@@ -21,6 +24,17 @@ pq("rsi_v1", f.rsi_v1, "v1", "rsi5 rsi10 rsi14", P)
 
 pq("sma_v2", f.sma_v2, "v2a", "sma5 sma10 sma20 sma50", P)
 pq("ema_v2", f.ema_v2, "emas", "ema5 ema10 ema20 ema50", P)
+sp.step("late0", "bars", late="CASE WHEN row_number() OVER w > 4 THEN close END")
+sp.ewm_step("late1", "late0", slow=("late", 2 / 51), fast=("late", 0.5))
+
+
+def late_means(d):
+    """Exponential means of a series that starts after its first bars, in blocks short enough to cross many."""
+    d = d.withColumn("late", F.expr(f"CASE WHEN row_number() OVER ({SERIES}) > 4 THEN close END"))
+    return ewm(d, {"slow": ("late", 2 / 51), "fast": ("late", 0.5)}, block=64)
+
+
+pq("ewm_native", late_means, "late1", "slow fast", P)
 pq("roc_v2", f.roc_v2, "v2a", "roc5 roc10 roc20")
 pq("rsi6", f.rsi6, "v2a", "rsi6", P)
 pq("stoch_v2", f.stoch_v2, "v2c", "stochk5 stochk14 stochd14 stoch_spread", P)

@@ -1,6 +1,7 @@
 """All queries of the subpackage; importing this module registers them."""
 
 from . import q_chat  # noqa: F401
+from . import q_near  # noqa: F401
 from . import q_pack  # noqa: F401
 from . import q_url  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -135,7 +135,10 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 2048, history
         now, overhead = None, len(tok.encode(f"{START}\n{END}", add_special_tokens=False).ids)
         for batch in batches:
             rows = []
-            sizes = [len(e.ids) for e in tok.encode_batch([f"{r}\n{t}" for r, t in zip(batch["role"], batch["text"])], add_special_tokens=False)]
+            sizes = []
+            for k in range(0, len(batch), 256):  # few at a time: encodings are large
+                some = [f"{r}\n{t}" for r, t in zip(batch["role"][k:k + 256], batch["text"][k:k + 256])]
+                sizes += [len(e.ids) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
             for conv, role, text, n in zip(batch["conv_id"], batch["role"], batch["text"], sizes):
                 if now is None or now.id != conv:
                     if now is not None:

@@ -21,7 +21,9 @@ from .words import SPACE, buffers, mix, powers, _BYTE
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2_000_000
 #: Distinct pieces whose ids a Python worker keeps between chunks; beyond, it starts again.
-KEPT = 1_500_000
+KEPT = 800_000
+#: Pieces encoded at once: the library's encodings are large.
+SLICE = 4096
 #: White space outside ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
@@ -40,9 +42,12 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces that are new; ``hashes`` are sorted."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+        counts, ids = [], []
+        for k in range(0, len(pieces), SLICE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k:k + SLICE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(counts[-1].sum())))
+        count, flat = np.concatenate(counts), np.concatenate(ids)
         begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
         at = np.searchsorted(self.known, hashes)
         self.known, self.begin, self.count = np.insert(self.known, at, hashes), np.insert(self.begin, at, begin), np.insert(self.count, at, count)

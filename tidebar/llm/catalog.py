@@ -1,5 +1,6 @@
 """All queries of the subpackage; importing this module registers them."""
 
+from . import q_bench  # noqa: F401
 from . import q_chat  # noqa: F401
 from . import q_near  # noqa: F401
 from . import q_pack  # noqa: F401

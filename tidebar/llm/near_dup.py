@@ -20,7 +20,8 @@ with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows of one doc_id are one document of the group, each row kept in the output; an empty
-table gives no rows; extra columns are ignored by ``components``.
+table gives no rows; extra columns are ignored by ``components`` and kept by ``kept_documents``; a row without a doc_id is
+never dropped.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from .store import stored
 from .words import chunks, mix, windows
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
+BROADCAST_ROWS = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,5 +227,12 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
     top = top.withColumn("root", F.coalesce("root", "class_id"))
     out = marks.drop("bands").join(top, ["key_a", "key_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"),
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
                       F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that ``components`` keeps; rows without a doc_id stay."""
+    gone = stored(components(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct(), "copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

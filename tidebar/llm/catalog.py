@@ -2,6 +2,7 @@
 
 from . import q_bench  # noqa: F401
 from . import q_chat  # noqa: F401
+from . import q_class  # noqa: F401
 from . import q_near  # noqa: F401
 from . import q_pack  # noqa: F401
 from . import q_pii  # noqa: F401

@@ -52,9 +52,13 @@ def powers(n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Some whole texts of a batch: text ``first + i`` has bytes ``text[i]:text[i + 1]`` and words ``word[i]:word[i + 1]``."""
+    """Some whole texts of a batch: text ``first + i`` has bytes ``text[i]:text[i + 1]`` and words ``word[i]:word[i + 1]``.
+
+    ``raw`` are the bytes as they are, ``data`` may be lower-cased.
+    """
 
     first: int
+    raw: np.ndarray
     data: np.ndarray
     text: np.ndarray
     word: np.ndarray
@@ -99,6 +103,7 @@ def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[
 
 
 def _words(first: int, data: np.ndarray, text: np.ndarray, lower: bool) -> Words:
+    raw = data
     if lower:
         data = LOWER[data]
     size = len(data)
@@ -121,7 +126,7 @@ def _words(first: int, data: np.ndarray, text: np.ndarray, lower: bool) -> Words
         hashes = mix(np.add.reduceat(x, starts - starts[0]) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     else:
         hashes = np.zeros(0, np.uint64)
-    return Words(first, data, text, np.searchsorted(starts, text), starts, ends, hashes)
+    return Words(first, raw, data, text, np.searchsorted(starts, text), starts, ends, hashes)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -21,11 +21,13 @@ from .words import SPACE, buffers, mix, powers, _BYTE
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2_000_000
 #: Distinct pieces whose ids a Python worker keeps between chunks; beyond, it starts again.
-KEPT = 800_000
+KEPT = 2_000_000
 #: Pieces encoded at once: the library's encodings are large.
 SLICE = 4096
 #: White space outside ASCII, in UTF-8.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+_MAY_START = np.zeros(256, bool)
+_MAY_START[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 
 class Encoder:
@@ -64,10 +66,11 @@ class Encoder:
 
     def _some(self, data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        odd = np.unique(np.searchsorted(text, [m.start() for m in _OTHER_SPACE.finditer(raw)], "right") - 1)
         size = len(data)
         if not size:
             return np.zeros(0, np.int32), np.zeros(len(text), np.int64)
+        odd = [m.start() for m in _OTHER_SPACE.finditer(raw)] if _MAY_START[data].any() else []
+        odd = np.unique(np.searchsorted(text, odd, "right") - 1)
         space = SPACE[data]
         cut = np.zeros(size, bool)
         cut[:-1] = space[:-1] & ~space[1:]

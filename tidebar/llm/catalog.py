@@ -8,5 +8,6 @@ from . import q_near  # noqa: F401
 from . import q_pack  # noqa: F401
 from . import q_pii  # noqa: F401
 from . import q_rules  # noqa: F401
+from . import q_sub  # noqa: F401
 from . import q_url  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

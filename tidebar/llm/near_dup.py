@@ -41,7 +41,7 @@ from .words import chunks, mix, windows
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, slots binary"
 #: Rows of one bucket, and sets of one group, that are compared at once.
-BUCKET_BLOCK, GROUP_BLOCK = 512, 256
+BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
 BROADCAST_ROWS = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,16 +203,14 @@ def _agreeing(slots: int, threshold: int) -> int:
 
 
 def _partners(rows: DataFrame, need: int) -> DataFrame:
-    """(x, root): classes to be checked against a group. ``rows`` holds bucket rows sorted by (band, key, low, high)."""
+    """(x, root): classes to be checked against a group. ``rows`` holds the blocks of buckets, sorted by (band, key, block).
 
-    def group(part: np.ndarray, sizes, roots, ids, sigs, out: set) -> None:
-        apart = len(np.unique(part)) > 1
-        largest = roots[int(sizes.argmax())]
+    A class outside the bucket's largest group is in every block of the bucket, and is compared with the block's own classes.
+    """
+
+    def group(own: np.ndarray, largest, sizes, roots, ids, sigs, out: set) -> None:
         for i in np.flatnonzero(roots != largest).tolist():
-            ok = (sigs == sigs[i]).sum(1) >= need
-            ok &= roots != roots[i]
-            if apart:
-                ok &= part != part[i]
+            ok = own & (roots != roots[i]) & ((sigs == sigs[i]).sum(1) >= need)
             for k in np.flatnonzero(ok).tolist():
                 if (sizes[k], -roots[k]) > (sizes[i], -roots[i]):
                     out.add((int(ids[i]), int(roots[k])))
@@ -229,9 +227,9 @@ def _partners(rows: DataFrame, need: int) -> DataFrame:
                 kept = t if kept is None else pa.concat_tables([kept, t])
             if kept is None:
                 return
-            col = {n: kept.column(n).to_numpy() for n in ("band", "key", "low", "high", "part", "class_id", "root", "group_size")}
+            col = {n: kept.column(n).to_numpy(zero_copy_only=False) for n in ("band", "key", "block", "own", "largest", "class_id", "root", "group_size")}
             new = np.zeros(kept.num_rows, bool)
-            for n in ("band", "key", "low", "high"):
+            for n in ("band", "key", "block"):
                 new[1:] |= col[n][1:] != col[n][:-1]
             begin = np.concatenate([[0], np.flatnonzero(new), [kept.num_rows]])
             whole = begin if batch is None else begin[:-1]  # the last group may go on in the next batch
@@ -240,7 +238,7 @@ def _partners(rows: DataFrame, need: int) -> DataFrame:
                 sigs = np.frombuffer(b"".join(kept.column("slots").slice(0, int(whole[-1])).to_pylist()), np.uint16).reshape(int(whole[-1]), -1)
                 for a, b in zip(whole[:-1].tolist(), whole[1:].tolist()):
                     if b - a > 1:
-                        group(col["part"][a:b], col["group_size"][a:b], col["root"][a:b], col["class_id"][a:b], sigs[a:b], out)
+                        group(col["own"][a:b], col["largest"][a], col["group_size"][a:b], col["root"][a:b], col["class_id"][a:b], sigs[a:b], out)
             pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "root"])
             if batch is None:
@@ -314,12 +312,12 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
     grouped = stored(reps.select("class_id").distinct().join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), "groups")
     sizes = stored(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("group_size")), "group-sizes")
     labelled = stored(members.join(grouped, "class_id"), "labelled")
-    undone = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    undone = labelled.join(undone, ["band", "key"]).join(reps.select("class_id", "slots"), "class_id").join(sizes, "root")
-    undone = undone.withColumn("parts", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("part", F.expr("CAST(pmod(xxhash64(class_id), parts) AS INT)"))
-    undone = undone.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    undone = undone.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class_id", "root", "group_size", "slots")
-    undone = undone.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
+    undone = labelled.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("root", "n").alias("largest"), F.count(F.lit(1)).alias("groups"))
+    undone = labelled.join(undone.where("groups > 1").drop("groups"), ["band", "key"]).join(reps.select("class_id", "slots"), "class_id").join(sizes, "root")
+    undone = undone.withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("home", F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)"))
+    visits = F.when(F.col("root") == F.col("largest"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    undone = undone.withColumn("block", F.explode(visits)).select("band", "key", "block", (F.col("block") == F.col("home")).alias("own"), "largest", "class_id", "root", "group_size", "slots")
+    undone = undone.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block")
     asked = stored(_partners(undone, _agreeing(bands * rows, threshold)).distinct(), "asked").join(sizes, "root").withColumn("blocks", F.ceil(F.col("group_size") / GROUP_BLOCK).cast("int"))
     targets = grouped.join(asked.select("root", "blocks").distinct(), "root")
     work = targets.select("root", F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)").alias("block"), F.lit(False).alias("asked"), F.col("class_id").alias("doc_id"))

@@ -111,13 +111,15 @@ def plain_katz(texts, held, vocabulary):
     for w in [w for w in c if w != end]:
         hashes[w] = int(next(chunks(pa.array([w]))).hashes.view(np.int64)[0])
     top = set(sorted(hashes, key=lambda w: (-c[w], hashes[w]))[:vocabulary])
-    kind = lambda w: w if w in top or w == end else other
-    classes = collections.Counter({other: unknown})
+    new = ("new",)
+    kind = lambda w: w if w in top or w == end else other if w in c else new
+    past = lambda w: w if w in top or w == begin else other
+    classes = collections.Counter({new: unknown})
     for w, p in p1.items():
         classes[kind(w)] += p
     pairs, seen = collections.Counter(), collections.Counter()
     for i, ws in tokens.items():
-        for h, w in zip([begin, *map(kind, ws)], ws):
+        for h, w in zip([begin, *map(past, ws)], ws):
             if not held[i]:
                 pairs[h, kind(w)] += 1
                 seen[h] += 1
@@ -131,9 +133,9 @@ def plain_katz(texts, held, vocabulary):
     rows = {}
     for i, ws in tokens.items():
         score = base = 0.0
-        for h, w in zip([begin, *map(kind, ws)], ws):
+        for h, w in zip([begin, *map(past, ws)], ws):
             p = chance(h, kind(w))
-            score += math.log10(p * (p1.get(w, unknown) / classes[other] if kind(w) == other else 1))
+            score += math.log10(p * (p1[w] / classes[other] if kind(w) == other else 1))
             base += math.log10((c[w] + 1) / (n + v + 1))
         rows[i] = len(ws), sum(c[w] > 0 for w in ws), n, base, score
     return rows, [sum(chance(h, w) for w in classes) for h in list(seen)[:20]]

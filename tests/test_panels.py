@@ -314,3 +314,25 @@ def test_zscore_uses_given_statistics(spark):
     assert np.allclose(got["volume"], (raw["volume"] - 10) / 2) and (got["flat"] == 0).all()
     assert np.allclose(got["close"], (raw["close"] - raw["close"].mean()) / raw["close"].std())
     assert set(stats) == {"close", "volume", "flat"}
+
+
+def test_exponential_means_with_gaps_match_pandas(spark):
+    rng = np.random.default_rng(4)
+    series = {"A": [10.0, 10.0, None, 10.0, 10.0], "B": [None, None, *[None if rng.random() < 0.4 else float(v) for v in rng.normal(100, 9, 300)]],
+              "C": [None] * 7, "D": [1.0, *[None] * 90, 5.0, 6.0, None]}
+    days = pd.date_range("2020-01-01", periods=400).date
+    rows = [(k, days[i], v) for k, xs in series.items() for i, v in enumerate(xs)]
+    d = spark.createDataFrame(rows, "ticker string, date date, x double")
+    got = ewm(d, {"slow": ("x", 2 / 51), "fast": ("x", 0.5), "half": ("x", 0.9)}, block=16).orderBy("ticker", "date").toPandas()
+    for k, xs in series.items():
+        for name, a in (("slow", 2 / 51), ("fast", 0.5), ("half", 0.9)):
+            want = pd.Series(xs, dtype=float).ewm(alpha=a, adjust=False).mean()
+            np.testing.assert_allclose(got[got.ticker == k][name].to_numpy(float), want.to_numpy(), rtol=1e-11)
+
+
+def test_equity_ends_at_a_zero_price(spark):
+    days = pd.date_range("2020-01-01", periods=5).date
+    rows = [("A", days[i], x, 1) for i, x in enumerate([10.0, 5.0, 0.0, 0.0, 3.0])]
+    d = spark.createDataFrame(rows, "ticker string, date date, close double, signal int")
+    got = trades.equity_curve(d, fee=0.0).orderBy("date").collect()
+    assert [r["equity"] for r in got] == pytest.approx([10000, 5000, 0, 0, 0]) and got[-1]["drawdown"] == -1

@@ -125,13 +125,10 @@ def ffill(x: str) -> Column:
 
 
 def bfill(x: str) -> Column:
-    return F.expr(f"first_value(nanvl({x}, NULL)) IGNORE NULLS OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+    """The next value, carried back: a running last value over the series read backwards, so the cost is linear."""
+    return F.expr(f"last_value(nanvl({x}, NULL)) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
 def drop_temps(df: DataFrame) -> DataFrame:
     """Drop the working columns, whose names start with an underscore."""
     return df.select(*[k for k in df.columns if not k.startswith("_")])
-
-
-def with_cols(df: DataFrame, **cols: Column) -> DataFrame:
-    return df.withColumns(cols)

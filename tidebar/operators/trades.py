@@ -29,11 +29,6 @@ def price_grid(df: DataFrame) -> DataFrame:
     return d.withColumn("close", F.last("close", ignorenulls=True).over(by_ticker(None, 0)))
 
 
-def pivot_matrix(df: DataFrame, value: str, tickers: list[str]) -> DataFrame:
-    """Date by ticker matrix for export; the tickers are named so that the number of columns is known."""
-    return df.groupBy("date").pivot("ticker", tickers).agg(F.first(value))
-
-
 def event_long_signals(df: DataFrame, threshold: float = 0.5, n: int = 20) -> DataFrame:
     """Predicted events with enough probability, the top ``n`` probabilities per date, kept where direction is up."""
     p = c("event_prob")
@@ -75,15 +70,18 @@ def trades_long_flat(df: DataFrame, signal: str = "signal", fee: float = 0.001)
 
 
 def equity_curve(df: DataFrame, signal: str = "signal", fee: float = 0.001, cash: float = 10_000.0) -> DataFrame:
-    """Equity per ticker: returns count while the signal of the bar before was 1, fees where the position changes."""
+    """Equity per ticker: returns count while the signal of the bar before was 1, fees where the position changes. A price of
+    0 while a position is held ends the equity at 0."""
     d = df.withColumn("_pos", F.when(c(signal) == 1, 1).otherwise(0))
     d = d.withColumns({"_held": F.coalesce(F.lag("_pos").over(by_ticker()), F.lit(0)), "_pc": F.lag("close").over(by_ticker())})
     step = F.when(c("_held") == 1, F.coalesce(ratio("close", "_pc"), F.lit(1.0))).otherwise(1.0)
     cost = F.when((c("_pos") == 1) & (c("_held") == 0), 1 / (1 + fee)).when((c("_pos") == 0) & (c("_held") == 1), 1 - fee).otherwise(1.0)
-    d = d.withColumns({"_ln": F.ln(step * cost), "held": c("_held")})
-    d = d.withColumn("equity", cash * F.exp(F.sum("_ln").over(by_ticker(None, 0))))
+    d = d.withColumn("_step", step * cost)
+    d = d.withColumns({"_ln": F.when(c("_step") > 0, F.ln("_step")), "_lost": (c("_step") <= 0).cast("int"), "held": c("_held")})
+    grown = cash * F.exp(F.coalesce(F.sum("_ln").over(by_ticker(None, 0)), F.lit(0.0)))
+    d = d.withColumn("equity", F.when(F.max("_lost").over(by_ticker(None, 0)) == 1, 0.0).otherwise(grown))
     d = d.withColumn("peak", F.greatest(F.max("equity").over(by_ticker(None, 0)), F.lit(cash)))
-    return d.withColumn("drawdown", c("equity") / c("peak") - 1).drop("_pos", "_held", "_pc", "_ln")
+    return d.withColumn("drawdown", c("equity") / c("peak") - 1).drop("_pos", "_held", "_pc", "_step", "_ln", "_lost")
 
 
 def perf_basic(df: DataFrame) -> DataFrame:

@@ -324,13 +324,13 @@ def _(spark, sf):
 # ---- joins ----
 
 step("preds", "sc", action="CASE WHEN prob >= 0.6 THEN 'LONG' WHEN prob <= 0.2 THEN 'SHORT' ELSE 'FLAT' END")
-PREDS = "volume % 3 <> 0"
+PREDS = "rn > 3"  # a ticker has no prediction in its first bars
 
 
-def preds(spark, sf):
+def preds(spark, sf, whole=False):
     p = F.col("prob")
-    d = inp.scores(spark, sf).where(F.col("volume") % 3 != 0)
-    return d.select("ticker", "date", "prob", F.when(p >= 0.6, "LONG").when(p <= 0.2, "SHORT").otherwise("FLAT").alias("action"))
+    d = inp.scores(spark, sf).select("ticker", "date", "rn", "prob", F.when(p >= 0.6, "LONG").when(p <= 0.2, "SHORT").otherwise("FLAT").alias("action"))
+    return d if whole else d.where("rn > 3").drop("rn")
 
 
 @query("join_left_panel", with_("preds", f"SELECT b.ticker, strftime(b.date, '%Y-%m-%d') AS date, coalesce(p.prob, 0) AS prob, coalesce(p.action, 'FLAT') AS action "
@@ -440,11 +440,11 @@ def _(spark, sf):
     return m002_features(bars(spark, sf)).groupBy("ticker").agg(*[F.sum(e).alias(e) for e in EVENTS])
 
 
-@query("agg_value_share", with_("preds", f"SELECT action, count(*) AS n, {sr('count(*) / sum(count(*)) OVER ()')} AS share FROM preds WHERE {PREDS} GROUP BY action"))
+@query("agg_value_share", with_("preds", f"SELECT action, count(*) AS n, {sr('count(*) / sum(count(*)) OVER ()')} AS share FROM preds GROUP BY action"))
 def _(spark, sf):
     from pyspark.sql.window import Window
 
-    d = preds(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
+    d = preds(spark, sf, whole=True).groupBy("action").agg(F.count("*").alias("n"))
     return shown(d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
 
 

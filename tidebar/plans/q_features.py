@@ -24,13 +24,14 @@ pq("rsi_v1", f.rsi_v1, "v1", "rsi5 rsi10 rsi14", P)
 
 pq("sma_v2", f.sma_v2, "v2a", "sma5 sma10 sma20 sma50", P)
 pq("ema_v2", f.ema_v2, "emas", "ema5 ema10 ema20 ema50", P)
-sp.step("late0", "bars", late="CASE WHEN row_number() OVER w > 4 THEN close END")
+sp.step("late0", "bars", late="CASE WHEN row_number() OVER w > 4 AND row_number() OVER w % 7 NOT IN (2, 3, 5) THEN close END")
 sp.ewm_step("late1", "late0", slow=("late", 2 / 51), fast=("late", 0.5))
 
 
 def late_means(d):
-    """Exponential means of a series that starts after its first bars, in blocks short enough to cross many."""
-    d = d.withColumn("late", F.expr(f"CASE WHEN row_number() OVER ({SERIES}) > 4 THEN close END"))
+    """Exponential means of a series that starts after its first bars and has gaps, in blocks short enough to cross many."""
+    row = f"row_number() OVER ({SERIES})"
+    d = d.withColumn("late", F.expr(f"CASE WHEN {row} > 4 AND {row} % 7 NOT IN (2, 3, 5) THEN close END"))
     return ewm(d, {"slow": ("late", 2 / 51), "fast": ("late", 0.5)}, block=64)
 
 

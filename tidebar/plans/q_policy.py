@@ -136,10 +136,10 @@ LONG_SIZE = sr("CASE WHEN p.action = 'LONG' THEN least(greatest(position_size, 0
 
 
 @query("sig_full", with_("pol", f"SELECT b.ticker, strftime(b.date, '%Y-%m-%d') AS date, coalesce(p.action, 'FLAT') AS action, {LONG_SIZE} AS position_size "
-                         "FROM bars b LEFT JOIN (SELECT * FROM pol WHERE volume % 3 <> 0) p ON p.ticker = b.ticker AND p.date = b.date"))
+                         "FROM bars b LEFT JOIN (SELECT * FROM pol WHERE rn > 3) p ON p.ticker = b.ticker AND p.date = b.date"))
 def _(spark, sf):
     d = bars(spark, sf).select("ticker", "date", "close")
-    keep = bars(spark, sf).where(c("volume") % 3 != 0).select("ticker", "date")
+    keep = inp.scores(spark, sf).where("rn > 3").select("ticker", "date")
     p = po.apply_policy(policy_input(spark, sf)).join(keep, ["ticker", "date"], "left_semi").select("ticker", "date", "policy_score", "position_size", "action")
     return shown(tr.full_signals(d, p).select("ticker", "date", "action", "position_size"))
 

@@ -47,12 +47,13 @@ def step(name: str, src: str, drop: str = "", **cols: str) -> None:
 
 
 def ewm_step(name: str, src: str, **specs: tuple[str, float]) -> None:
-    """Exponential means by plain recursion over the row number; leading nulls are skipped."""
+    """Exponential means by plain recursion over the row number; a value after g rows meets a mean that has faded g times."""
     xs = ", ".join(f"CAST({x} AS DOUBLE) AS x_{k}" for k, (x, _) in specs.items())
     cte(f"{name}_n", src, f"SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn, {xs} FROM {src}")
-    first = ", ".join(f"x_{k} AS {k}" for k in specs)
+    first = ", ".join(f"x_{k} AS {k}, 1 AS g_{k}" for k in specs)
     nxt = ", ".join(
-        f"CASE WHEN r.{k} IS NULL THEN n.x_{k} ELSE CAST({a!r} AS DOUBLE) * n.x_{k} + (1.0 - CAST({a!r} AS DOUBLE)) * r.{k} END"
+        f"CASE WHEN r.{k} IS NULL THEN n.x_{k} WHEN n.x_{k} IS NULL THEN r.{k} ELSE (CAST({a!r} AS DOUBLE) * n.x_{k} + power(1.0 - CAST({a!r} AS DOUBLE), r.g_{k}) * r.{k}) "
+        f"/ (CAST({a!r} AS DOUBLE) + power(1.0 - CAST({a!r} AS DOUBLE), r.g_{k})) END, CASE WHEN n.x_{k} IS NULL THEN r.g_{k} + 1 ELSE 1 END"
         for k, (_, a) in specs.items())
     ks = ", ".join(f"n.{k}" for k in specs)
     cte(f"{name}_r", f"{name}_n",

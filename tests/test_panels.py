@@ -230,15 +230,23 @@ def test_labels_at_the_tail(spark):
 
 def test_ingest_file_tree(spark, tmp_path):
     kr, us = tmp_path / "kr", tmp_path / "us"
-    for p in (kr, us / "nasdaq", us / "nyse"):
+    for p in (kr, us / "nasdaq" / "csv", us / "nyse" / "csv" / "more"):
         p.mkdir(parents=True)
     (kr / "005930.csv").write_text("date,open,high,low,close,volume,value\n20200102,\"1,000\",1100,900,1050,10,10500\n20200103,,,,1060,11,\nbad,1,1,1,1,1,1\n")
     (kr / "readme.csv").write_text("date,open,high,low,close,volume,value\n20200102,1,1,1,1,1,1\n")
     us_head = "Date,Low,Open,Volume,High,Close,Adjusted Close\n"
-    (us / "nasdaq" / "abc.csv").write_text(us_head + "02-01-2020,9,10,100,12,11,10.5\n")
-    (us / "nyse" / "abc.csv").write_text(us_head + "02-01-2020,9,10,999,12,11,10.5\n")
+    (us / "nasdaq" / "csv" / "abc.csv").write_text(us_head + "02-01-2020,9,10,100,12,11,10.5\n")
+    (us / "nyse" / "csv" / "more" / "abc.csv").write_text(us_head + "02-01-2020,9,10,999,12,11,10.5\n")
+    # another column order, a name with characters that paths escape, a short line and a long one
+    (us / "nyse" / "csv" / " B^F+1 %.csv").write_text("Date,Open,High,Low,Close,Volume,Adjusted Close\n02-01-2020,1,4,0.5,2,300,2\n03-01-2020,1,4,0.5,2\n04-01-2020,1,4,0.5,2,300,2,9,9\n")
     got = {(r["market"], r["ticker"], r["date"]): r for r in lake.ingest_tree(spark, str(kr), str(us)).collect()}
-    assert set(got) == {("KR", "005930", dt.date(2020, 1, 2)), ("KR", "005930", dt.date(2020, 1, 3)), ("US", "ABC", dt.date(2020, 1, 2))}
+    assert set(got) == {("KR", "005930", dt.date(2020, 1, 2)), ("KR", "005930", dt.date(2020, 1, 3)), ("US", "ABC", dt.date(2020, 1, 2)),
+                        *[("US", "B^F+1 %", dt.date(2020, 1, k)) for k in (2, 3, 4)]}
+    odd = got["US", "B^F+1 %", dt.date(2020, 1, 2)]
+    assert (odd["open"], odd["high"], odd["low"], odd["close"], odd["volume"], odd["exchange"]) == (1.0, 4.0, 0.5, 2.0, 300, "NYSE")
+    assert got["US", "B^F+1 %", dt.date(2020, 1, 3)]["close"] == 2.0 and got["US", "B^F+1 %", dt.date(2020, 1, 3)]["volume"] is None
+    counts = {r["_path"].rsplit("/", 1)[1]: (r["lines"], r["malformed"]) for r in lake.malformed_counts(lake.read_raw_csv(spark, str(us))).collect()}
+    assert counts["abc.csv"] == (1, 0) and (3, 2) in counts.values()
     first = got["KR", "005930", dt.date(2020, 1, 2)]
     assert first["open"] == 1000.0 and first["turnover"] == 10500.0 and first["exchange"] is None
     abc = got["US", "ABC", dt.date(2020, 1, 2)]
@@ -330,6 +338,17 @@ def test_exponential_means_with_gaps_match_pandas(spark):
             np.testing.assert_allclose(got[got.ticker == k][name].to_numpy(float), want.to_numpy(), rtol=1e-11)
 
 
+def test_isotonic_calibration_keeps_close_scores_apart(spark):
+    rows = [(0.5, 0), (0.5, 1), (0.5 + 1e-6, 1), (0.5 + 1e-6, 1), (0.2, 0), (0.9, 0), (0.95, 1), (0.1, 1), (0.1, 0)]
+    d = spark.createDataFrame(rows, "p double, y int")
+    got = {r["p"]: r["calibrated"] for r in learn.calibrate(d, "y", "p").collect()}
+    points = sorted({p for p, _ in rows})
+    mean = lambda a, b: np.mean([y for p, y in rows if points[a] <= p <= points[b]])
+    for k, p in enumerate(points):
+        assert got[p] == pytest.approx(max(min(mean(i, j) for j in range(k, len(points))) for i in range(k + 1)))
+    assert got[0.5] != got[0.5 + 1e-6]
+
+
 def test_equity_ends_at_a_zero_price(spark):
     days = pd.date_range("2020-01-01", periods=5).date
     rows = [("A", days[i], x, 1) for i, x in enumerate([10.0, 5.0, 0.0, 0.0, 3.0])]

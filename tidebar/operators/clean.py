@@ -105,8 +105,9 @@ def sample_tickers(df: DataFrame, max_tickers: int | None = None, seed: int = 42
 
 
 def pick_features(df: DataFrame, target: str | None = None) -> list[str]:
-    """Numeric columns that are neither base columns nor labels nor future returns."""
-    numeric = {"double", "float", "long", "integer", "short", "decimal"}
+    """Numeric columns that are neither base columns nor labels nor future returns. Flags are integers and stay out: they are
+    never scaled."""
+    numeric = {"double", "float", "decimal"}
     return [f.name for f in df.schema.fields
             if f.dataType.typeName().split("(")[0] in numeric and f.name not in BASE_COLUMNS and f.name != target
             and not f.name.startswith(("label_", "futret_"))]

@@ -24,7 +24,7 @@ REGIME_FEATURES = ["rsi_smooth", "macd_smooth", "atr_smooth", "ema_spread_rel",
 @query("clf_direction")
 def _(spark, sf):
     d = sample_weights(turnover_rank_dense(labelled_features(spark, sf)))
-    scored = ml.clf_direction(d, FEATURES, "label_1d_cls", "weight")
+    scored = ml.clf_direction(d, FEATURES, "label_1d_cls", "weight", trees=20)  # a smaller model than the default, for time
     s = scored.groupBy("split").agg(F.count("*").alias("rows"), F.avg((c("label") == c("direction_pred")).cast("double")).alias("accuracy"),
                                     F.min("direction_prob").alias("min_prob"), F.max("direction_prob").alias("max_prob"))
     return shown(s, 4)
@@ -46,7 +46,7 @@ def _(spark, sf):
 @query("head_rebound")
 def _(spark, sf):
     d = lab.label_rebound(rsi_v1(atr_v1(returns(bars(spark, sf)))))
-    out = ml.head_rebound(d, FEATURES)
+    out = ml.head_rebound(d, FEATURES, trees=10, reg_trees=10, depth=5, step=0.1)  # smaller models than the defaults, for time
     return shown(out.groupBy("role").agg(
         F.count("*").alias("rows"), F.avg(F.abs(c("ret_5d_pct") - c("pred_expected_ret_pct"))).alias("mae_ret"),
         F.avg(F.abs(c("dd_5d_pct") - c("pred_expected_dd_pct"))).alias("mae_dd"), F.avg("pred_rebound_prob").alias("mean_prob")), 3)
@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("importance")
 def _(spark, sf):
-    return shown(ml.importance(labelled_features(spark, sf), FEATURES, "label_1d_cls"), 4)
+    return shown(ml.importance(labelled_features(spark, sf), FEATURES, "label_1d_cls", trees=20, depth=8), 4)
 
 
 @query("calibrate")

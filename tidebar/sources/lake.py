@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,29 +29,74 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_raw_csv(spark: SparkSession, paths, fields: list[str] | None = None) -> DataFrame:
-    """Raw CSV files with every column as text. Names come from the header unless ``fields`` fixes them. Malformed lines
-    are dropped, and input splits take the place of batches."""
-    reader = (spark.read.option("header", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "*.csv"))
-    if fields:
-        reader = reader.schema(T.StructType([T.StructField(k, T.StringType()) for k in fields]))
-    return reader.csv(paths).withColumn("_path", F.col("_metadata.file_path"))
+def csv_headers(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files under some folders by their header: only the first line of each file is read, many at a time."""
+    path_class, configuration = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = []
+    for root in [paths] if isinstance(paths, str) else paths:
+        at = path_class(root)
+        found = at.getFileSystem(configuration).listFiles(at, True)
+        while found.hasNext():
+            f = found.next().getPath()
+            if f.getName().endswith(".csv") and not f.getName().startswith(("_", ".")):
+                files.append(f)
+
+    def header(f) -> tuple[str, ...]:
+        stream = f.getFileSystem(configuration).open(f)
+        try:
+            line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+        finally:
+            stream.close()
+        return tuple(x.strip() for x in next(csv.reader([line.lstrip("\ufeff")]), []))
+
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for f, names in zip(files, pool.map(header, files)):
+            if names:
+                out.setdefault(names, []).append(f.toString())
+    return out
+
+
+def read_raw_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Raw CSV files with every column as text. Columns go by the header of their own file: files with equal headers are read
+    together and the groups are united by name. A line with fewer fields than its header ends in nulls, one with more loses
+    the rest; both keep their text in ``_malformed``, which ``malformed_counts`` counts. Input splits take the place of batches."""
+    out = None
+    for names, files in csv_headers(spark, paths).items():
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in [*names, "_malformed"]])
+        part = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").schema(schema).csv(files)
+                .withColumn("_path", F.col("_metadata.file_path")))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no CSV file with a header under {paths}")
+    return out
+
+
+def malformed_counts(raw: DataFrame) -> DataFrame:
+    """Lines per file, and how many of them have more or fewer fields than the header."""
+    fields = [k for k in raw.columns if not k.startswith("_")]  # a line is only checked for the columns that are read
+    odd = F.col("_malformed").isNotNull() & (F.length(F.concat_ws("", *fields)) >= 0)
+    return raw.groupBy("_path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(odd).alias("malformed"))
+
+
+def _from_path(pattern: str):
+    """A part of the file path as it was written: paths come with escapes, in which a plus sign stands for itself."""
+    return F.upper(F.trim(F.regexp_extract(F.url_decode(F.replace(F.col("_path"), F.lit("+"), F.lit("%2B"))), pattern, 1)))
 
 
 def ingest_tree(spark: SparkSession, kr_root: str | None = None, us_root: str | None = None,
-                ticker_pattern: str = r"([^/]+)\.csv$", exchange_pattern: str = r"([^/]+)/[^/]+\.csv$",
-                exchange_priority: tuple[str, ...] = ("NASDAQ", "NYSE", "SP500")) -> DataFrame:
-    """All bars under the two file trees in one job. The ticker comes from the file name, the exchange from its folder;
-    meta files are skipped. A ticker listed on several exchanges keeps the bar of the first exchange in the priority."""
+                ticker_pattern: str = r"([^/]+)\.csv$", exchange_pattern: str = r"([^/]+)/csv/(?:[^/]+/)*[^/]+\.csv$",
+                exchange_priority: tuple[str, ...] = ("NASDAQ", "NYSE", "SP500", "FORBES2000")) -> DataFrame:
+    """All bars under the two file trees in one job. The ticker comes from the file name, the exchange from the folder that
+    holds its ``csv`` folder; meta files are skipped. A ticker listed on several exchanges keeps the bar of the first exchange in the priority."""
     parts = []
-    ticker = F.upper(F.regexp_extract("_path", ticker_pattern, 1))
+    ticker = _from_path(ticker_pattern)
     if kr_root:
         raw = read_raw_csv(spark, kr_root).withColumn("ticker", ticker)
         parts.append(norm_kr(raw.where(~F.lower("ticker").isin(META_STEMS)), "ticker", seq="_path"))
     if us_root:
         raw = read_raw_csv(spark, us_root).withColumns({
-            "ticker": ticker, "exchange": F.upper(F.regexp_extract("_path", exchange_pattern, 1))})
+            "ticker": ticker, "exchange": _from_path(exchange_pattern)})
         rank = F.lit(0)
         for i, e in enumerate(reversed(exchange_priority)):
             rank = F.when(F.col("exchange") == e, i + 1).otherwise(rank)
@@ -63,14 +110,13 @@ def ingest_tree(spark: SparkSession, kr_root: str | None = None, us_root: str |
     return out
 
 
-def write_lake(df: DataFrame, root: str, files_per_partition: int = 1) -> None:
+def write_lake(df: DataFrame, root: str) -> None:
     """Write bars by market and year, replacing only the partitions present in ``df``.
 
-    Ticker stays a sorted column: as a folder level it would make a file per ticker and year. A large market-year is
-    spread over ``files_per_partition`` files by a hash of the ticker.
+    Ticker stays a sorted column: as a folder level it would make a file per ticker and year. Rows are rebalanced by market
+    and year at run time, so a small market-year is one file and a large one is split over tasks and files.
     """
-    spread = F.pmod(F.xxhash64("ticker"), F.lit(files_per_partition))
-    (df.repartition("market", "year", spread).sortWithinPartitions("market", "year", "ticker", "date")
+    (df.hint("rebalance", "market", "year").sortWithinPartitions("market", "year", "ticker", "date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("market", "year").parquet(root))
 
 
@@ -87,9 +133,15 @@ def load_silver(spark: SparkSession, root: str, market=None, exchanges=None, tic
 
 
 def lake_version(spark: SparkSession, root: str) -> str:
-    """Newest modification time under the lake."""
-    row = spark.read.parquet(root).select(F.max("_metadata.file_modification_time").alias("t")).first()
-    return str(row["t"])
+    """A hash of the lake's files: path, length and time of each. No data is read, and deleted files change it too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    lines = []
+    while found.hasNext():
+        f = found.next()
+        if f.getPath().getName().endswith(".parquet"):
+            lines.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
 
 
 def dataset_key(params: dict, version: str) -> str:

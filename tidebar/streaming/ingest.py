@@ -20,17 +20,18 @@ BATCH_SCHEMA = T.StructType([*LAKE_SCHEMA.fields, T.StructField("batch", T.LongT
 
 def stream_ingest(spark: SparkSession, source: str, lake: str, checkpoint: str, kind: str = "kr", extra: tuple[str, ...] = ("ticker",),
                   max_files: int | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the stream. Files hold the raw columns of the kind, then ``extra`` columns that name the ticker (and exchange)."""
+    """Start the stream. Files hold the raw columns of the kind, then ``extra`` columns that name the ticker (and exchange).
+    Short lines end in nulls; a line without a date is no bar."""
     fields = [*(KR_FIELDS if kind == "kr" else US_FIELDS), *extra]
     schema = T.StructType([T.StructField(k, T.StringType()) for k in fields])
-    reader = spark.readStream.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True)
+    reader = spark.readStream.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.csv(source)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         bars = norm_kr(batch, "ticker") if kind == "kr" else norm_us(batch, "ticker", "exchange" if "exchange" in extra else None)
-        (bars.withColumn("batch", F.lit(batch_id).cast("long")).repartition("market", "year")
+        (bars.withColumn("batch", F.lit(batch_id).cast("long")).hint("rebalance", "market", "year")
          .sortWithinPartitions("market", "year", "ticker", "date")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "market", "year").parquet(lake))
 

@@ -131,6 +131,11 @@ def event_filter(df: DataFrame, target: str = "futret_1", thresh: float = 0.05)
     return df.where(F.abs(target) >= thresh)
 
 
+def ffill_prices(df: DataFrame) -> DataFrame:
+    """Carry the four prices forward over null bars of a ticker; nulls before its first price stay."""
+    return df.withColumns({k: ffill(k) for k in ("open", "high", "low", "close")})
+
+
 def ffill_zero(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({k: F.coalesce(ffill(k), F.lit(0.0)) for k in cols})
 

@@ -209,6 +209,29 @@ def _(spark, sf):
     return shown(hit.groupBy("ticker").agg(F.count("*").alias("rows"), F.avg("atr14").alias("mean_atr14")), 3)
 
 
+step("ds0", "v1", futret_5="lead(close, 5) OVER w / close - 1", n_all="count(*) OVER ()")
+DS_SHOWN = ["atr14", "rsi5", "ret_5"]
+DS_STATS = ", ".join(f"avg({k}) AS m_{k}, stddev_samp({k}) AS s_{k}" for k in DS_SHOWN)
+cte("ds_stats", "ds0", f"SELECT {DS_STATS} FROM ds0")
+
+
+@query("build_dataset", with_("ds0 ds_stats", "SELECT ticker, strftime(date, '%Y-%m-%d') AS date, " + ", ".join(sr(f"({k} - m_{k}) / s_{k}", 5) + f" AS {k}" for k in DS_SHOWN)
+                              + f", {sr('futret_5', 5)} AS futret_5, CAST(CASE WHEN futret_5 >= 0.05::DOUBLE THEN 1 WHEN futret_5 <= -0.05::DOUBLE THEN -1 ELSE 0 END AS BIGINT) AS label_5d_cls "
+                              "FROM ds0, ds_stats WHERE futret_5 IS NOT NULL AND logret_1 IS NOT NULL AND ret_5 IS NOT NULL AND atr5 IS NOT NULL AND atr10 IS NOT NULL AND atr14 IS NOT NULL "
+                              "AND vwap10 IS NOT NULL AND vwap20 IS NOT NULL AND rsi5 IS NOT NULL AND rsi10 IS NOT NULL AND rsi14 IS NOT NULL"))
+def _(spark, sf):
+    from ..sources.dataset import build_dataset
+
+    root, cache = _lake(spark, sf), lake.new_folder(spark, "cache")
+    keep = ["ticker", "date", *DS_SHOWN, "futret_5", "label_5d_cls"]
+    options = {"label_task": "classification", "columns": keep, "cache": cache}
+    _, stats = build_dataset(spark, root, **options)  # stored
+    d, again = build_dataset(spark, root, **options)  # read back, with its statistics
+    if stats != again:
+        raise AssertionError("statistics changed in the cache")
+    return shown(d, 5)
+
+
 @query("stats_source", with_("v1", " UNION ALL ".join(
     f"SELECT '{k}' AS feature, {sr(f'avg({k})', 3)} AS mean, {sr(f'stddev_samp({k})', 3)} AS std FROM v1" for k in FEATS)
     + " UNION ALL SELECT 'flat' AS feature, 3.0 AS mean, 1.0 AS std"))

@@ -16,7 +16,7 @@ from . import inputs as inp
 from .inputs import bars
 from .q_basic import SILVER_SQL, raw_kr
 from .q_policy import FEATURES, judged, labelled_features
-from .registry import query, shown, with_
+from .registry import cte, query, shown, sr, with_
 
 REGIME_FEATURES = ["rsi_smooth", "macd_smooth", "atr_smooth", "ema_spread_rel", "pos_in_band_rel", "curv_2", "price_slope", "local_vol_index"]
 
@@ -67,6 +67,17 @@ def _(spark, sf):
     return shown(out, 5)
 
 
+cte("cal_pts", "mb", "SELECT prob, avg(big_move_event) AS y, count(*) AS n, row_number() OVER (ORDER BY prob) AS i FROM mb GROUP BY prob")
+cte("cal_runs", "cal_pts", "SELECT a.i AS lo, b.i AS hi, sum(c.y * c.n) / sum(c.n) AS m FROM cal_pts a JOIN cal_pts b ON b.i >= a.i JOIN cal_pts c ON c.i BETWEEN a.i AND b.i GROUP BY 1, 2")
+cte("cal_low", "cal_runs cal_pts", "SELECT lo, i, min(m) AS m FROM cal_runs JOIN cal_pts ON i BETWEEN lo AND hi GROUP BY lo, i")
+
+
+@query("calibrate_isotonic", with_("cal_low", f"SELECT {sr('prob', 8)} AS prob, n, {sr('max(m)', 8)} AS calibrated FROM cal_low JOIN cal_pts USING (i) GROUP BY i, prob, n"))
+def _(spark, sf):
+    out = ml.calibrate(judged(spark, sf), "big_move_event", "prob").groupBy("prob").agg(F.count("*").alias("n"), F.max("calibrated").alias("calibrated"))
+    return shown(out, 8)
+
+
 @query("regime_cluster")
 def _(spark, sf):
     d = ml.regime_cluster(bars(spark, sf))

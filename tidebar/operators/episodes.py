@@ -164,26 +164,40 @@ def ep_redistribute(episodes: DataFrame, band: float = 0.5) -> DataFrame:
     return s.withColumn("side", side)
 
 
+def _better_first(a, b):
+    return F.when(a[P] > b[P], -1).when(a[P] < b[P], 1).when(a["ticker"] < b["ticker"], -1).when(a["ticker"] > b["ticker"], 1).otherwise(0)
+
+
 def ep_report(episodes: DataFrame) -> DataFrame:
-    """One JSON document: overall statistics, best and worst episode, the top five and the statistics per event type."""
-    brief = ["episode_id", "ticker", "event_type", P, "duration_days", "start_date", "end_date"]
-    episodes = pinned(episodes.select(*brief, "feature_statistics"))
-    whole = F.struct(*brief, "feature_statistics")
+    """One JSON document: metadata, overall statistics, best and worst episode, the top five with their feature statistics, and
+    per event type performance, side, recommendation and risk. It lists tickers and event types, nothing per episode.
+
+    The columns in use are pinned, so building the report runs the query of the episodes."""
+    brief = ["episode_id", "ticker", "event_type", P, "duration_days", "start_date", "end_date", "feature_statistics"]
+    episodes = pinned(episodes.select(*brief))
     tie = F.struct(c(P), c("ticker"), c("episode_id"))
     overall = episodes.groupBy().agg(
         F.count("*").alias("total_episodes"), (F.avg((c(P) > 0).cast("double")) * 100).alias("overall_win_rate"),
         F.avg("duration_days").alias("avg_episode_duration"), F.avg(P).alias("avg_price_change"), F.max(P).alias("best_episode_return"),
         F.min(P).alias("worst_episode_return"), F.min("start_date").alias("first_date"), F.max("end_date").alias("last_date"),
-        F.max_by(whole, tie).alias("best"), F.min_by(whole, tie).alias("worst")).withColumn("_all", F.lit(0))
-    median = exact_quantiles(episodes.select(P), [], P, {"median_price_change": 0.5}).withColumn("_all", F.lit(0))
-    top = episodes.select("episode_id", "event_type", P, "ticker").orderBy(F.desc(P), "ticker", "episode_id").limit(5).groupBy().agg(
-        F.sort_array(F.collect_list(F.struct(c(P), c("event_type"), c("episode_id"))), asc=False).alias("top")).withColumn("_all", F.lit(0))
-    sides = ep_redistribute(episodes).groupBy().agg(F.collect_list(F.struct("side", "event_type", "count", "avg_return", "win_rate")).alias("event_performance")).withColumn("_all", F.lit(0))
-    advice = ep_recommend(episodes).groupBy().agg(F.collect_list(F.struct("event_type", "recommendation_score", "recommendation")).alias("recommendations")).withColumn("_all", F.lit(0))
-    d = overall
-    for part in (median, top, sides, advice):
-        d = d.join(F.broadcast(part), "_all")
-    return d.drop("_all").select(F.to_json(F.struct("*")).alias("report"))
+        F.sort_array(F.collect_set("ticker")).alias("tickers"), F.max_by(F.struct(*brief), tie).alias("best"), F.min_by(F.struct(*brief), tie).alias("worst"))
+    median = exact_quantiles(episodes.select(P), [], P, {"median_price_change": 0.5})
+    top = top_episodes(episodes).groupBy().agg(F.array_sort(F.collect_list(F.struct(c(P), c("episode_id"), c("event_type"), c("ticker"), c("feature_statistics"))), _better_first).alias("top"))
+
+    def listed(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy().agg(F.sort_array(F.collect_list(F.struct("event_type", *[k for k in d.columns if k != "event_type"]))).alias(name))
+
+    d = overall.withColumn("_all", F.lit(0))
+    for part in (median, top, listed(ep_redistribute(episodes), "types"), listed(ep_recommend(episodes), "advice"), listed(ep_risk(episodes), "risk")):
+        d = d.join(F.broadcast(part.withColumn("_all", F.lit(0))), "_all", "left")
+    sides = {f"{k}_events": F.expr(f"filter(types, x -> x.side = '{k}')") for k in ("buyer", "seller", "neutral")}
+    moved = F.struct(F.size("types").alias("total_events"), *[F.size(v).alias(k.replace("events", "count")) for k, v in sides.items()])
+    return d.select(F.to_json(F.struct(
+        F.struct("total_episodes", F.struct("first_date", "last_date").alias("date_range"), c("tickers").alias("tickers_analyzed")).alias("metadata"),
+        F.struct("total_episodes", "overall_win_rate", "avg_episode_duration", "avg_price_change", "median_price_change", "best_episode_return", "worst_episode_return").alias("overall_statistics"),
+        c("best").alias("best_performing_episode"), c("worst").alias("worst_performing_episode"),
+        F.struct(*[v.alias(k) for k, v in sides.items()], c("types").alias("all_events_performance"), moved.alias("redistribution_summary")).alias("event_performance"),
+        c("top").alias("top_performing_episodes"), c("advice").alias("strategy_recommendations"), c("risk").alias("risk_metrics"))).alias("report"))
 
 
 def top_episodes(episodes: DataFrame, k: int = 5) -> DataFrame:

@@ -182,6 +182,25 @@ def _(spark, sf):
     return ep.ep_report(extracted(spark, sf))
 
 
+REPORT = {"total": "$.overall_statistics.total_episodes", "tickers": "$.metadata.tickers_analyzed", "win_rate": "$.overall_statistics.overall_win_rate", "duration": "$.overall_statistics.avg_episode_duration",
+          "mean": "$.overall_statistics.avg_price_change", "median": "$.overall_statistics.median_price_change", "best": "$.best_performing_episode.price_change_pct",
+          "worst": "$.worst_performing_episode.price_change_pct", "buyers": "$.event_performance.redistribution_summary.buyer_count",
+          "sellers": "$.event_performance.redistribution_summary.seller_count", "types": "$.event_performance.redistribution_summary.total_events", "fifth": "$.top_performing_episodes[4].price_change_pct",
+          "first_sharpe": "$.risk_metrics[0].sharpe_ratio", "first_date": "$.metadata.date_range.first_date"}
+
+
+@query("ep_report_fields", with_("eps risk", f"""SELECT (SELECT count(*) FROM eps) AS total, (SELECT count(DISTINCT ticker) FROM eps) AS tickers, {sr(f'(SELECT {WR} FROM eps)', P)} AS win_rate, {sr('(SELECT avg(duration_days) FROM eps)', P)} AS duration,
+  {sr(f'(SELECT avg({PC}) FROM eps)', P)} AS mean, {sr(f'(SELECT median({PC}) FROM eps)', P)} AS median, {sr(f'(SELECT max({PC}) FROM eps)', P)} AS best, {sr(f'(SELECT min({PC}) FROM eps)', P)} AS worst,
+  (SELECT count(*) FROM risk WHERE mean > 0.5) AS buyers, (SELECT count(*) FROM risk WHERE mean < -0.5) AS sellers, (SELECT count(*) FROM risk) AS types,
+  {sr(f'(SELECT {PC} FROM eps ORDER BY {PC} DESC, ticker, episode_id LIMIT 1 OFFSET 4)', P)} AS fifth, {sr('(SELECT arg_min(sharpe_ratio, event_type) FROM risk)', P)} AS first_sharpe, (SELECT strftime(min(start_date), '%Y-%m-%d') FROM eps) AS first_date"""))
+def _(spark, sf):
+    whole, text = ("total", "buyers", "sellers", "types"), ("first_date",)
+    d = ep.ep_report(extracted(spark, sf))
+    cols = [F.size(F.from_json(F.get_json_object("report", v), "array<string>")).cast("long").alias(k) if k == "tickers" else
+            F.get_json_object("report", v).cast("long" if k in whole else "string" if k in text else "double").alias(k) for k, v in REPORT.items()]
+    return shown(d.select(*cols), P)
+
+
 @query("topk_global", with_("eps", f"SELECT * FROM (SELECT 'top' AS kind, ticker, CAST(episode_id AS BIGINT) AS episode_id, {sr(PC, P)} AS price_change_pct FROM eps ORDER BY {PC} DESC, ticker, episode_id LIMIT 5) UNION ALL "
        f"SELECT 'worst', arg_min(ticker, {PC}), CAST(arg_min(episode_id, {PC}) AS BIGINT), {sr(f'min({PC})', P)} FROM eps"))
 def _(spark, sf):

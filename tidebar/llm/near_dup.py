@@ -42,7 +42,7 @@ from .words import chunks, mix, windows
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, slots binary"
 #: Rows of one bucket, and sets of one group, that are compared at once.
 BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataF
     texts = docs.select("doc_id", "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(ids, texts):
@@ -302,7 +302,8 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
     members = stored(buckets.join(shared, ["band", "key"]), "buckets")
     degree = members.groupBy("class_id").agg(F.sum("size").alias("degree"))
     members = stored(members.join(degree, "class_id").select("band", "key", "size", "class_id", "degree"), "members")
-    texts = stored(docs.select("doc_id", "text").join(members.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    wanted = stored(members.select(F.col("class_id").alias("doc_id")).distinct(), "candidates")
+    texts = stored(docs.select("doc_id", "text").join(checked(wanted), "doc_id", "left_semi"), "texts")
 
     hub = members.groupBy("band", "key").agg(F.max_by("class_id", F.struct("degree", -F.col("class_id"))).alias("hub"))
     pairs = members.join(hub, ["band", "key"]).where("class_id <> hub").select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b"))
@@ -322,7 +323,7 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
     targets = grouped.join(asked.select("root", "blocks").distinct(), "root")
     work = targets.select("root", F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)").alias("block"), F.lit(False).alias("asked"), F.col("class_id").alias("doc_id"))
     work = work.unionByName(asked.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asked"), F.col("x").alias("doc_id")))
-    work = work.join(texts, "doc_id").select("root", "block", "asked", "doc_id", "text").repartition("root", "block").sortWithinPartitions("root", "block", "asked")
+    work = work.join(texts.hint("merge"), "doc_id").select("root", "block", "asked", "doc_id", "text").repartition("root", "block").sortWithinPartitions("root", "block", "asked")
     links = links.unionByName(stored(_against_groups(work, n, threshold), "links"))
 
     roots = group_edges(links).withColumnRenamed("node", "class_id")
@@ -333,8 +334,12 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
                       F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def checked(ids: DataFrame) -> DataFrame:
+    """Broadcast a stored table of ids if it has at most BROADCAST_ROWS rows, counted just now; a shuffle join otherwise."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that ``components`` keeps; rows without a doc_id stay."""
     gone = stored(components(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct(), "copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    return docs.join(checked(gone), docs["doc_id"] == gone["__gone_id"], "left_anti")

@@ -67,7 +67,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         plus, minus = _index_vectors()
         total = np.zeros(ROWS * WIDTH, np.int64)
         for batch in batches:
-            for w in _chunks_for(batch, 4_000_000):
+            for w in _chunks_for(batch, 2_000_000):
                 word, shape, doc = rows_of(w)
                 for gap in range(1, SPAN + 1):
                     near = doc[gap:] == doc[:-gap]

@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 from .words import SPACE, buffers, mix, powers, _BYTE
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Distinct pieces whose ids a Python worker keeps between chunks; beyond, it starts again.
-KEPT = 2_000_000
+KEPT = 1_200_000
 #: Pieces encoded at once: the library's encodings are large.
 SLICE = 4096
 #: White space outside ASCII, in UTF-8.

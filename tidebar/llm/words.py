@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ The series starts at its first value. A value that comes g rows after the last o
 repeats the last mean.
 
 Inside a block of rows this is a running sum of ``(1 - r_i) * x_i / R_i``, scaled by ``R_t``, the running product of r.
-Blocks keep the products finite. The mean that enters a block is folded from the ends of the blocks before it, once per
-block, and counts ``R_t`` times.
+Blocks keep the products finite. The mean that enters a block is folded from the ends of the blocks before it and counts
+``R_t`` times.
 """
 
 from __future__ import annotations
@@ -45,10 +45,9 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], min_periods: dict[st
     d = d.withColumns({f"_ew_s_{k}": F.expr(f"coalesce(sum({x} * (1D - coalesce(_ew_r_{k}, 0D)) / _ew_p_{k}) {inside} * _ew_p_{k}, 0D)") for k, (x, _) in specs.items()})
     ends = ", ".join(f"'s_{k}', _ew_s_{k}, 'p_{k}', _ew_p_{k}" for k in specs)
     d = d.withColumn("_ew_ends", F.expr(f"collect_list(CASE WHEN _ew_pos = {size - 1} THEN named_struct({ends}) END) {series % '1 PRECEDING'}"))
-    d = d.withColumns({f"_ew_in_{k}": F.expr(f"CASE WHEN _ew_pos = 0 THEN aggregate(_ew_ends, 0D, (y, e) -> e.s_{k} + e.p_{k} * y) END") for k in specs})
     result = {}
     for k, (x, _) in specs.items():
-        entering = f"last_value(_ew_in_{k}) IGNORE NULLS {series % 'CURRENT ROW'}"
+        entering = f"aggregate(_ew_ends, 0D, (y, e) -> e.s_{k} + e.p_{k} * y)"
         result[k] = F.expr(f"CASE WHEN _ew_n{values.index(x)} >= {max(1, need.get(k, 1))} THEN _ew_s_{k} + _ew_p_{k} * {entering} END")
     d = d.withColumns(result)
     return d.drop(*[k for k in d.columns if k.startswith("_ew_")])

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from conftest import ODD, SF, words
+from cases import ODD, SF, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

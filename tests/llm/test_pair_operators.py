@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ODD, words
+from cases import ODD, words
 
 from tidebar.llm import decontaminate, near_dup, substrings
 

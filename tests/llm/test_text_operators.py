@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF  # noqa: F401
+from cases import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -38,7 +38,7 @@ def liquidity_weights(df: DataFrame, label: str, rank: str = "turnover_rank_prev
     counts = df.groupBy(label).agg(F.count("*").alias("_class_n"))
     r = c(rank)
     tier = F.when((r >= 1) & (r <= 100), 2.0).when((r > 100) & (r <= 300), 1.5).when((r > 300) & (r <= 1000), 1.2).otherwise(1.0)
-    return df.join(F.broadcast(counts), label).withColumn("weight", tier / F.col("_class_n")).drop("_class_n")
+    return df.join(counts, label).withColumn("weight", tier / F.col("_class_n")).drop("_class_n")
 
 
 def sample_weights(df: DataFrame, w_top: float = 3.0, w_mid: float = 1.5, w_base: float = 1.0) -> DataFrame:
@@ -49,12 +49,12 @@ def topn_per_date(df: DataFrame, score: str, n: int = 20, rank: str = "score_ran
     """Rows whose dense rank of the score within the date is at most ``n``, ties kept.
 
     Only distinct scores are ranked, and the rank limit is applied before they are shuffled. The list that is joined
-    back has at most ``n`` rows per calendar date, so it may be broadcast whatever the size of the dates.
+    back has at most ``n`` rows per calendar date, so it is broadcast whatever the size of the dates, for ``n`` up to 1000.
     """
     w = Window.partitionBy("date").orderBy(F.desc(score))
     top = (df.where(F.col(score).isNotNull()).select("date", score).distinct()
            .withColumn(rank, F.dense_rank().over(w)).where(F.col(rank) <= n))
-    return df.join(F.broadcast(top), ["date", score])
+    return df.join(F.broadcast(top) if n <= 1000 else top, ["date", score])
 
 
 def daily_topk_precision(df: DataFrame, prob: str, label: str, k: int = 5) -> DataFrame:

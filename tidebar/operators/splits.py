@@ -42,7 +42,8 @@ def row_index(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def split_walk_forward(df: DataFrame, train: float = 0.7, valid: float = 0.1, step: float = 0.1) -> DataFrame:
-    """Rolling train and validation stretches over rows ordered by (date, ticker); one row per fold it belongs to."""
+    """Rolling train and validation stretches over rows ordered by (date, ticker); one row per fold it belongs to. A row is
+    expanded by the folds that hold it only, so small steps don't multiply it by all folds."""
     d = row_index(df, ["date", "ticker"])
     n = F.col("n_rows")
     tr, va = F.greatest(F.floor(n * train), F.lit(1)), F.greatest(F.floor(n * valid), F.lit(1))
@@ -51,10 +52,12 @@ def split_walk_forward(df: DataFrame, train: float = 0.7, valid: float = 0.1, st
     d = d.withColumns({"_tr": F.when(whole, F.greatest(n - va, F.lit(1))).otherwise(tr),
                        "_va": F.when(whole, n).otherwise(va), "_st": st,
                        "_last": F.when(whole, F.lit(0)).otherwise(F.floor((n - tr - va) / st))})
-    d = d.withColumn("fold", F.explode(F.expr("sequence(0L, cast(_last as bigint))")))
+    d = d.withColumns({"_lo": F.greatest(F.lit(0), F.floor((F.col("row_idx") - F.col("_tr") - F.col("_va")) / F.col("_st")) + 1).cast("bigint"),
+                       "_hi": F.least(F.col("_last"), F.floor(F.col("row_idx") / F.col("_st"))).cast("bigint")})
+    d = d.withColumn("fold", F.explode(F.expr("CASE WHEN _lo <= _hi THEN sequence(_lo, _hi) ELSE CAST(array() AS ARRAY<BIGINT>) END")))
     at = F.col("row_idx") - F.col("fold") * F.col("_st")
     role = F.when((at >= 0) & (at < F.col("_tr")), "train").when((at >= F.col("_tr")) & (at < F.col("_tr") + F.col("_va")), "valid")
-    return d.withColumn("role", role).where(F.col("role").isNotNull()).drop("_tr", "_va", "_st", "_last")
+    return d.withColumn("role", role).where(F.col("role").isNotNull()).drop("_tr", "_va", "_st", "_last", "_lo", "_hi")
 
 
 def split_random_strat(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:

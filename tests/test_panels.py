@@ -355,3 +355,18 @@ def test_equity_ends_at_a_zero_price(spark):
     d = spark.createDataFrame(rows, "ticker string, date date, close double, signal int")
     got = trades.equity_curve(d, fee=0.0).orderBy("date").collect()
     assert [r["equity"] for r in got] == pytest.approx([10000, 5000, 0, 0, 0]) and got[-1]["drawdown"] == -1
+
+
+def test_policy_options(spark):
+    rows = [("A", day(i), x, 0.5, 2.0, -4.0) for i, x in enumerate([-0.4, 0.0, -0.2])]
+    d = spark.createDataFrame(rows, "ticker string, date date, atr_smooth double, pred_rebound_prob double, pred_expected_ret_pct double, pred_expected_dd_pct double")
+
+    def vols(**options):
+        return [r["ex_ante_vol"] for r in policy.ex_ante_vol(d, policy.Policy(vol_window=1, **options)).orderBy("date").collect()]
+
+    assert vols() == [0.4, 0.15, 0.2] and vols(vol_abs=False) == [0.15] * 3
+    assert vols(vol_floor=None) == [0.4, 1.0, 0.2] and vols(vol_floor=None, vol_abs=False) == [-0.4, 1.0, -0.2]
+    scored = policy.policy_score(d, policy.Policy(risk_aversion=0.25))
+    assert [r["policy_score"] for r in scored.collect()] == pytest.approx([0.5 * 0.02 - 0.25 * 0.04] * 3)
+    plain = policy.score_rescale(scored, policy.Policy(rescale=False)).collect()
+    assert all(r["effective_score"] == r["policy_score"] for r in plain)

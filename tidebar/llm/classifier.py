@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import small_batches, stored
 from .words import Words, chunks, mix
 
 BUCKETS, SHAPES, WIDTH, SPAN = 16384, 128, 32, 2
@@ -87,7 +87,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 sums[block] = sums[block] + x if block in sums else x
         yield _blocks(sums)
 
-    parts = docs.select("text").mapInArrow(own, "block int, sums binary")
+    parts = small_batches(docs.select("text")).mapInArrow(own, "block int, sums binary")
     rows = parts.repartition(BLOCKS, "block").mapInArrow(added, "block int, sums binary").collect()  # a table of fixed size
     out = np.zeros((BLOCKS, ROWS * WIDTH // BLOCKS), np.int64)
     for r in rows:
@@ -129,7 +129,7 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 x[:, -1] = np.log1p(n) / 5
                 yield pa.RecordBatch.from_arrays([ids.slice(w.first, len(w)).cast(pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "inputs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, inputs binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, inputs binary")
 
 
 class Network:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import small_batches, stored
 from .words import chunks, mix, windows
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, slots binary"
@@ -139,7 +139,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                      pa.array(keys[:, 1].view(np.int64)), lists, pa.array([c.tobytes() for c in cut], pa.binary())],
                     names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "slots"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, SIGNED)
 
 
 def group_edges(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import small_batches, stored
 from .tokens import encoder
 
 ROWS = ("doc_id long, n_full int, rest int, rest_crc long, full_crcs array<long>, task int, rest_rank long, full_rank long")
@@ -131,7 +131,7 @@ def lengths(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Data
                      pa.array(full_crcs, pa.list_(pa.int64())), pa.array(np.full(n, task), pa.int32()), pa.array(rank), pa.array(full_rank)],
                     names=["doc_id", "n_full", "rest", "rest_crc", "full_crcs", "task", "rest_rank", "full_rank"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, ROWS)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -179,3 +179,53 @@ def test_passages(spark, odd, none):
     assert substrings.passages(none).count() == 0
     assert all(x["doc_id"] != x["source_id"] for x in substrings.passages(odd).collect())
     assert r
+
+
+def covered_words(found):
+    out = {}
+    for x in found:
+        out.setdefault(x["doc_id"], set()).update(range(x["start_word"], x["end_word"]))
+    return out
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = (last + 1 if x == y else max(row[j], row[j + 1])), row[j + 1]
+    return row[-1]
+
+
+def check_passages(texts, found, least=50):
+    """Every run that an earlier document has is covered, and every passage is one."""
+    seen, got = {}, covered_words(found)
+    for d in sorted(texts):
+        for k in range(len(texts[d]) - least + 1):
+            first = seen.setdefault(tuple(texts[d][k:k + least]), d)
+            assert first == d or set(range(k, k + least)) <= got.get(d, set()), (d, k, first)
+    for x in found:
+        a, b = texts[x["doc_id"]][x["start_word"]:x["end_word"]], texts[x["source_id"]][x["source_start"]:x["source_end"]]
+        assert x["source_id"] < x["doc_id"] and max(len(a), len(b)) >= least and common_words(a, b) >= 0.8 * max(len(a), len(b))
+
+
+def test_passages_of_mosaics(spark):
+    r = random.Random(3)
+    sentences = [[f"s{k}x{j}" for j in range(r.randint(8, 45))] for k in range(60)]
+    texts = {k: [f"b{k}"] * 5 + s + [f"e{k}x{j}" for j in range(5)] for k, s in enumerate(sentences)}
+    for d in range(100, 130):
+        texts[d] = sum((sentences[r.randrange(60)] for _ in range(8)), [])
+        if d % 2:
+            other = texts[r.randrange(100, d)] if d > 101 else texts[100]
+            at = r.randrange(len(other) - 55)
+            texts[d] = texts[d][:40] + other[at:at + r.randint(50, 120)] + texts[d][40:90]
+    chorus = [f"c{j}" for j in range(7)]
+    texts[200], texts[201], texts[202] = chorus * 12, ["x"] + chorus * 10 + ["y"], ["word"] * 300
+    texts[203] = ["z"] + ["word"] * 130
+    # an unbroken passage whose neighbours are alike too, but not enough
+    p, q, s = ([f"{c}{j}" for j in range(60)] for c in "pqs")
+    texts[204], texts[205] = q + p, [x if j % 2 else "n" for j, x in enumerate(q)] + p[:52] + s
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    found = substrings.passages(docs).collect()
+    assert {101, 201, 203, 205} <= {x["doc_id"] for x in found}
+    check_passages(texts, found)

@@ -148,6 +148,20 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(none, items).count() == 0 and decontaminate.clean_documents(odd, items.limit(0)).count() == odd.count()
 
 
+
+def test_decontamination_finds_parts_in_another_order(spark):
+    r = random.Random(6)
+    item = [f"i{k:02d}" for k in range(40)]
+    swapped, third = item[20:] + item[:20], item[30:] + item[:30]
+    noise = lambda n: [f"n{r.randrange(10 ** 6):06d}" for _ in range(n)]
+    texts = [noise(60) + swapped + noise(60), swapped + noise(9), noise(9) + third, noise(30) + item[:33] + noise(30), noise(30) + item[:30] + noise(30), noise(200), item[:10] * 50]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    items = [(1, " ".join(item))]
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == brute_matches(rows, items) >= {(0, 1), (1, 1), (2, 1)}
+    assert (got[0, 1]["start_word"], got[0, 1]["similarity"]) == (60, 0.8)
+
+
 def test_hamming_blocks_find_all_within_radius():
     r = random.Random(4)
     masks = set(decontaminate.flips(3))

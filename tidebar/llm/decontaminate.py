@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming search, and exact verification.
 
 1. Seeds. A window can only reach the wanted similarity of five-word shingles if it shares a shingle with the item, so the
-   shingles of every document are joined to those of the items. A shared shingle at word p of the document and word o of
-   the item places a window of the item's size at p - o. No window that would be verified is lost by this.
+   shingles of every document are joined to those of the items. Every window of the item's size is a candidate, wherever
+   its shared shingles stand in the item, if their weight is ``similarity`` of the item's at least. The similarity can't
+   be reached with less, so no window that would be verified is lost by this.
 2. Fingerprints. A window and an item have a 64-bit SimHash of their words, each weighted by its length.
 3. Multi-index search. Fingerprints are cut into four blocks of 16 bits. If two differ in at most ``radius`` bits, some block
    differs in at most radius / 4; all variants of the items' blocks within that many flips are indexed, and windows of the
@@ -14,7 +15,7 @@ up to ``BROADCAST_ROWS``; beyond, the joins shuffle. Words are runs of letters a
 punctuation do not hide a passage.
 
 Defined cases: null, empty or wordless texts and items match nothing; an item of fewer words than a shingle is one
-shingle; repeated documents each match; an empty benchmark leaves all documents; a null doc_id counts as an id; extra
+shingle and matches only documents of just these words; repeated documents each match; an empty benchmark leaves all documents; a null doc_id counts as an id; extra
 columns are ignored by ``matches`` and kept by ``clean_documents``.
 """
 
@@ -64,7 +65,11 @@ def flips(most: int) -> list[int]:
 
 
 def weight(shingles: str) -> Column:
-    return F.expr(f"aggregate({shingles}, 0L, (s, x) -> s + length(replace(x, ' ', '')))")
+    return weight_of(F.col(shingles))
+
+
+def weight_of(shingles: Column) -> Column:
+    return F.aggregate(shingles, F.lit(0).cast("long"), lambda s, x: s + F.length(F.replace(x, F.lit(" "), F.lit(""))))
 
 
 def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,11 +81,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): each document and item with a similar window, the best one."""
     items = benchmark.select("item_id", words(F.col("text")).alias("iw")).where("size(iw) > 0").withColumn("n", F.size("iw"))
     items = stored(items.withColumn("ifp", simhash("iw")), "items")
-    index = stored(items.select("n", F.posexplode(shingle_hashes("iw", shingle)).alias("o", "h")).distinct(), "item-shingles")
+    index = items.select("item_id", "n", "iw", (weight_of(shingle_texts("iw", shingle)) * similarity - 1e-6).alias("need"), F.posexplode(shingle_hashes("iw", shingle)).alias("o", "h"))
+    index = stored(index.select("item_id", "n", "need", "h", F.expr(f"length(concat_ws('', slice(iw, o + 1, {shingle})))").alias("letters")).distinct(), "item-shingles")
 
     seen = docs.select("doc_id", words(F.col("text")).alias("dw"))
     seeds = seen.select("doc_id", F.posexplode(shingle_hashes("dw", shingle)).alias("p", "h")).join(checked(index), "h")
-    starts = seeds.select("doc_id", F.greatest(F.col("p") - F.col("o"), F.lit(0)).alias("start"), "n").distinct()
+    # a shared shingle is in all windows that start at most n - shingle words before it
+    met = seeds.groupBy("doc_id", "item_id", "n", "need").agg(F.sum("letters").alias("total"), F.collect_list(F.struct("p", "letters")).alias("at")).where("total >= need")
+    met = met.select("doc_id", "item_id", "n", "need", F.explode("at").alias("x"))
+    met = met.select("doc_id", "item_id", "n", "need", "x.letters", F.explode(F.expr(f"sequence(greatest(x.p - greatest(n - {shingle}, 0), 0), x.p)")).alias("start"))
+    starts = met.groupBy("doc_id", "item_id", "n", "need", "start").agg(F.sum("letters").alias("total")).where("total >= need").select("doc_id", "start", "n").distinct()
     starts = stored(starts, "windows")
     per_doc = stored(starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("places")).withColumnRenamed("doc_id", "found_id"), "window-docs")
 

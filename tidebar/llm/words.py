@@ -15,6 +15,11 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words of letters and digits, and between words of letters alone; bytes of other alphabets are letters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; a longer text is handled alone.
@@ -92,22 +97,22 @@ def segment_sum(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return total[starts[1:n + 1]] - total[starts[:n]]
 
 
-def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[Words]:
-    """Words of all texts, some texts at a time."""
+def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK, gaps: np.ndarray = SPACE) -> Iterator[Words]:
+    """Words of all texts, some texts at a time. ``gaps`` marks the bytes, after lower-casing, that part words."""
     data, at = buffers(texts)
     n, i = len(at) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
-        yield _words(i, data[at[i]:at[j]], at[i:j + 1] - at[i], lower)
+        yield _words(i, data[at[i]:at[j]], at[i:j + 1] - at[i], lower, gaps)
         i = j
 
 
-def _words(first: int, data: np.ndarray, text: np.ndarray, lower: bool) -> Words:
+def _words(first: int, data: np.ndarray, text: np.ndarray, lower: bool, spaces: np.ndarray) -> Words:
     raw = data
     if lower:
         data = LOWER[data]
     size = len(data)
-    inside = ~SPACE[data]
+    inside = ~spaces[data]
     edge = np.zeros(size + 1, bool)
     edge[text] = True
     before = np.concatenate([[False], inside[:-1]]) if size else inside

@@ -289,22 +289,6 @@ def test_episode_document_and_segments(spark, tmp_path):
     assert [(r["state"], r["bars"]) for r in seg] == [("x", 2), ("y", 3), ("x", 1)]
 
 
-def test_stream_replaces_late_corrections(spark, tmp_path):
-    from tidebar.streaming.ingest import compact, current_lake, stream_ingest
-
-    src, out, chk, flat = (str(tmp_path / k) for k in ("src", "out", "chk", "flat"))
-    head = "date,open,high,low,close,volume,value,ticker\n"
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a.csv").write_text(head + "20200102,1,1,1,1,10,10,A\n20200103,1,1,1,1,10,10,A\n")
-    stream_ingest(spark, src, out, chk).awaitTermination()
-    (tmp_path / "src" / "b.csv").write_text(head + "20200102,2,2,2,2,20,20,A\n20190102,3,3,3,3,30,30,A\n")
-    stream_ingest(spark, src, out, chk).awaitTermination()
-    got = {r["date"]: r["close"] for r in current_lake(spark, out).collect()}
-    assert got == {dt.date(2020, 1, 2): 2.0, dt.date(2020, 1, 3): 1.0, dt.date(2019, 1, 2): 3.0}
-    compact(spark, out, flat)
-    assert lake.scan_lake(spark, flat).count() == 3
-
-
 def test_calibration_is_monotone(spark):
     rnd = random.Random(4)
     rows = [(f"T{i}", day(0), p, int(rnd.random() < p * p)) for i, p in enumerate(rnd.random() for _ in range(800))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import bfill, c, ffill
 from ..functions.text import parse_date, parse_numf, parse_numi, resolve_columns
@@ -13,18 +14,51 @@ SILVER = ["date", "open", "high", "low", "close", "adj_close", "volume", "turnov
 BASE_COLUMNS = set(SILVER)
 
 
+_FLAT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _flat_order(df: DataFrame, order: list[str | Column], rest: list[str]) -> Column | None:
+    """One number that orders rows as ``order`` does and tells rows with equal order apart by a hash of their values; None
+    where ``order`` is more than one number or date."""
+    low = F.xxhash64(*rest)
+    if not order:
+        return low
+    if len(order) > 1:
+        return None
+    kind = df.select(c(order[0]).alias("o")).schema[0].dataType
+    first = F.col("_order")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
+        return F.shiftleft(F.coalesce(first.cast("int"), F.lit(-2**31)).cast("long"), 32) + F.pmod(low, F.lit(2**32))
+    if isinstance(kind, (T.DateType, T.LongType)):
+        first = F.unix_date(first) if isinstance(kind, T.DateType) else first
+        return F.coalesce(first, F.lit(-2**63)).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.pmod(low, F.lit(10**18)).cast("decimal(18,0)")
+    return None
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key, the last in ``order``. An aggregate with map-side combine, so a key with very many copies sends
-    one row per task instead of filling one task. ``order`` should tell rows of a key apart; the values break ties."""
+    one row per task instead of filling one task. ``order`` should tell rows of a key apart; a hash of the values breaks ties.
+
+    Hash aggregation keeps only values of fixed width: numbers and dates ordered by one number stay in it, while texts outside
+    the keys or a text as order make Spark sort the rows of each task first. Rows without order come before all others.
+    """
     rest = [k for k in df.columns if k not in keys]
+    flat = _flat_order(df, order, rest) if all(isinstance(df.schema[k].dataType, _FLAT) for k in rest) else None
+    if flat is not None:
+        rows = df.withColumn("_order", c(order[0])) if order else df
+        rows = rows.withColumn("_at", flat).drop("_order")
+        return rows.groupBy(*keys).agg(*[F.max_by(k, "_at").alias(k) for k in rest]).select(*df.columns)
     row = F.struct(*rest)
     best = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order, *rest)).alias("_row"))
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
-def _finish(df: DataFrame, seq: str | None) -> DataFrame:
-    out = df.where(F.col("date").isNotNull()).withColumn("year", F.year("date"))
-    return keep_last(out, ["market", "ticker", "date"], [F.col(seq)] if seq else []).select(*SILVER)
+def _finish(df: DataFrame, seq: str | None, market: str, currency: str) -> DataFrame:
+    """The last bar per ticker and date as a silver row. What is the same in all rows joins after the choice."""
+    best = keep_last(df.where(F.col("date").isNotNull()), ["ticker", "date"], [F.col(seq)] if seq else [])
+    if "exchange" not in df.columns:
+        best = best.withColumn("exchange", F.lit(None).cast("string"))
+    return best.withColumns({"market": F.lit(market), "currency": F.lit(currency), "year": F.year("date")}).select(*SILVER)
 
 
 def norm_kr(df: DataFrame, ticker: str | Column = "ticker", seq: str | None = None) -> DataFrame:
@@ -35,10 +69,9 @@ def norm_kr(df: DataFrame, ticker: str | Column = "ticker", seq: str | None = No
     out = df.select(
         parse_date(got["date"], "yyyyMMdd").alias("date"), *[f[k].alias(k) for k in ("open", "high", "low", "close")],
         f["close"].alias("adj_close"), parse_numi(got["volume"]).alias("volume"), f["value"].alias("turnover"),
-        F.upper(c(ticker)).alias("ticker"), F.lit("KR").alias("market"), F.lit(None).cast("string").alias("exchange"),
-        F.lit("KRW").alias("currency"), *keep,
+        F.upper(c(ticker)).alias("ticker"), *keep,
     )
-    return _finish(out, seq)
+    return _finish(out, seq, "KR", "KRW")
 
 
 def norm_us(df: DataFrame, ticker: str | Column = "ticker", exchange: str | Column | None = None,
@@ -47,15 +80,15 @@ def norm_us(df: DataFrame, ticker: str | Column = "ticker", exchange: str | Colu
     got = resolve_columns(df, {"date": ["date"], "open": ["open"], "high": ["high"], "low": ["low"], "close": ["close"],
                                "volume": ["volume"], "adj_close": ["adjustedclose", "adjclose", "close"]})
     close, volume = parse_numf(got["close"]), parse_numi(got["volume"])
-    place = F.lit(None).cast("string") if exchange is None else F.upper(c(exchange))
     keep = [F.col(seq)] if seq else []
+    if exchange is not None:
+        keep.append(F.upper(c(exchange)).alias("exchange"))
     out = df.select(
         parse_date(got["date"], "dd-MM-yyyy").alias("date"), *[parse_numf(got[k]).alias(k) for k in ("open", "high", "low")],
         close.alias("close"), parse_numf(got["adj_close"]).alias("adj_close"), volume.alias("volume"),
-        (close * volume).alias("turnover"), F.upper(c(ticker)).alias("ticker"), F.lit("US").alias("market"),
-        place.alias("exchange"), F.lit("USD").alias("currency"), *keep,
+        (close * volume).alias("turnover"), F.upper(c(ticker)).alias("ticker"), *keep,
     )
-    return _finish(out, seq)
+    return _finish(out, seq, "US", "USD")
 
 
 def canon_prices(df: DataFrame, market: str = "US", currency: str = "USD", seq: str | None = None) -> DataFrame:
@@ -71,10 +104,9 @@ def canon_prices(df: DataFrame, market: str = "US", currency: str = "USD", seq:
         F.col(got["date"]).cast("date").alias("date"),
         *[F.col(got[k]).cast("double").alias(k) for k in ("open", "high", "low", "close")],
         F.coalesce(F.col(got["adj_close"]).cast("double"), close).alias("adj_close"), volume.alias("volume"),
-        (close * volume).alias("turnover"), F.upper(F.trim(F.col(got["ticker"]))).alias("ticker"),
-        F.lit(market).alias("market"), F.lit(None).cast("string").alias("exchange"), F.lit(currency).alias("currency"), *keep,
+        (close * volume).alias("turnover"), F.upper(F.trim(F.col(got["ticker"]))).alias("ticker"), *keep,
     )
-    return _finish(out, seq)
+    return _finish(out, seq, market, currency)
 
 
 def filter_bars(df: DataFrame, market: str | None = None, exchanges=None, tickers=None, years=None, start=None,

@@ -1,4 +1,4 @@
-"""Queries that fit models, and streaming ingestion. Fitted values have no SQL, so most are checked on their invariants."""
+"""Queries that fit models. Fitted values have no SQL, so most are checked on their invariants."""
 
 from __future__ import annotations
 
@@ -10,11 +10,8 @@ from ..operators import learn as ml
 from ..operators import metrics as mt
 from ..operators.features import atr_v1, returns, rsi_v1
 from ..operators.ranking import sample_weights, turnover_rank_dense
-from ..sources import lake
-from ..streaming.ingest import current_lake, stream_ingest
 from . import inputs as inp
 from .inputs import bars
-from .q_basic import SILVER_SQL, raw_kr
 from .q_policy import FEATURES, judged, labelled_features
 from .registry import cte, query, shown, sr, with_
 
@@ -78,18 +75,12 @@ def _(spark, sf):
     return shown(out, 8)
 
 
-@query("regime_cluster")
+@query("regime_cluster", with_("bars", "SELECT ticker, count(*) AS rows, count(*) AS known, count(*) AS summing, strftime(min(date), '%Y-%m-%d') AS first_date, "
+                               "strftime(max(date), '%Y-%m-%d') AS last_date FROM bars GROUP BY ticker HAVING count(*) > 2"))
 def _(spark, sf):
     d = ml.regime_cluster(bars(spark, sf))
-    return shown(d.groupBy("cluster_state").agg(F.count("*").alias("rows"), F.avg("prob_up").alias("prob_up")), 4)
-
-
-@query("stream_ingest", with_("raw_kr", "SELECT " + SILVER_SQL.format(adj="close", turn="turnover", m="KR", ex="CAST(NULL AS VARCHAR)", cur="KRW")
-                              + " FROM raw_kr WHERE date IS NOT NULL"))
-def _(spark, sf):
-    source, root, state = (lake.new_folder(spark, k) for k in ("incoming", "stream", "state"))
-    raw = raw_kr(spark, sf)
-    for copy in (0, 1):  # the second arrival corrects bars of the first
-        raw.where(c("_copy") == copy).select(*lake.KR_FIELDS, "ticker").write.mode("append").option("header", True).csv(source)
-        stream_ingest(spark, source, root, state).awaitTermination()
-    return shown(current_lake(spark, root))
+    probs = [c(k) for k in d.columns if k.startswith("prob_")]
+    one = (F.abs(sum(probs, F.lit(0.0)) - 1) < 1e-9) & (F.least(*probs) >= 0)
+    out = d.groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if(c("cluster_state").isin(ml.CLUSTER_STATES)).alias("known"), F.count_if(one).alias("summing"),
+                                  F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return shown(out.where("rows > 2"))

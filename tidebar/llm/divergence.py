@@ -38,7 +38,7 @@ from .words import LOWER, NO_LETTER, buffers
 SMOOTH = 5
 #: Terms of one range of ids, and bytes of text whose terms are combined in a task before they leave it.
 RANGE = 1 << 16
-GATHER = 12_000_000
+GATHER = 6_000_000
 
 
 def price(count: Column, total: Column, terms: Column) -> Column:
@@ -84,14 +84,23 @@ def _counted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     names = list(zip(table["lang"].to_pylist(), table["source"].to_pylist()))
     number = {x: k for k, x in enumerate(dict.fromkeys(names))}
     group = np.array([number[x] for x in names], np.int64)
-    keys, n = np.unique(group[doc] * size + code, return_counts=True)
-    once = np.unique(doc * size + code)
-    docs = np.unique(group[once // size] * size + once % size, return_counts=True)[1]
+    rows = pa.array(group[doc] * size + code).dictionary_encode()
+    row, keys = rows.indices.to_numpy(), rows.dictionary.to_numpy()
+    # Codes are given in the order of first sight, so a word is new to its document where the highest code so far rises.
+    seen = pa.array(doc * size + code).dictionary_encode().indices.to_numpy()
+    new = np.diff(np.maximum.accumulate(seen), prepend=-1) > 0
+    n, docs = (np.bincount(x, minlength=len(keys)) for x in (row, row[new]))
+    order = np.argsort((keys // size).astype(np.uint16 if len(number) < 65536 else np.int64), kind="stable")  # rows of a group together
+    keys, n, docs = keys[order], n[order], docs[order]
     named = [pa.array([x[k] for x in number], pa.string()).take(pa.array(keys // size)) for k in (0, 1)]
     return pa.RecordBatch.from_arrays([*named, coded.dictionary.take(pa.array(keys % size)).cast(pa.string()), pa.array(n), pa.array(docs)],
                                       names=["lang", "source", "term", "n", "docs"])
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences and documents of every term of every group: (lang, source, term, n, docs)."""
 
@@ -101,10 +110,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
             held.append(batch)
             size += batch.nbytes
             if size >= GATHER:
-                yield _counted(held)
+                yield from _slices(_counted(held))
                 held, size = [], 0
         if held:
-            yield _counted(held)
+            yield from _slices(_counted(held))
 
     texts = docs.select(*[F.coalesce(k, F.lit("")).alias(k) for k in ("lang", "source", "text")])
     rows = small_batches(texts).mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -129,8 +138,8 @@ class Audit:
 
 def _merged(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """The part of one pair's difference that the terms of one range make, and how many terms either group has there."""
-    own = (left if left.num_rows else right).slice(0, 1).to_pydict()
-    v, sizes = own["terms"][0], (own["size_a"][0], own["size_b"][0])
+    own = left if left.num_rows else right
+    v, *sizes = (own[k][0].as_py() for k in ("terms", "size_a", "size_b"))
 
     def side(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         if not t.num_rows:

@@ -267,9 +267,10 @@ V2_GROUPS = (sma_v2, roc_v2, rsi6, stoch_v2, willr14, cci20, volatility_v2, obv,
              co_moves_v2, curv5)
 
 
-def v2_features(df: DataFrame) -> DataFrame:
-    """All v2 features on top of v1, filled. The exponential means come first, while rows are narrow."""
-    return drop_temps(fill_features(spreads_v2(in_layers(macd_v2(ema_v2(df, MACD_EMAS)), V2_GROUPS))))
+def v2_features(df: DataFrame, extra: dict | None = None) -> DataFrame:
+    """All v2 features on top of v1, filled. The exponential means come first, while rows are narrow; ``extra`` ones of later
+    blocks are taken in the same passes."""
+    return drop_temps(fill_features(spreads_v2(in_layers(macd_v2(ema_v2(df, MACD_EMAS | (extra or {}))), V2_GROUPS))))
 
 
 # ---- v3 ----
@@ -317,8 +318,11 @@ def means_v3():
     return [{"atr5": rmean("_tr", 5), "psar_proxy": rmean("close", 5)}]
 
 
+V3_EMAS = {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)}
+
+
 def ema_atr_v3(df: DataFrame) -> DataFrame:
-    return means_v3(ewm(df, {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)}))
+    return means_v3(ewm(df, V3_EMAS))
 
 
 def aroon_v3(df: DataFrame) -> DataFrame:
@@ -331,7 +335,7 @@ V3_GROUPS = (adx14, v_pattern, v2_pattern, rsi5_v3, means_v3)
 
 def v3_features(df: DataFrame) -> DataFrame:
     """All v3 features on top of v2, filled. The directional movements themselves are working columns."""
-    d = ewm(df, {"ema5": ("close", span(5)), "ema14": ("close", span(14)), "kama10": ("close", 0.2)})
+    d = df if set(V3_EMAS) <= set(df.columns) else ewm(df, V3_EMAS)
     return drop_temps(fill_features(aroon_v3(in_layers(d, V3_GROUPS)).drop("plus_dm", "minus_dm")))
 
 
@@ -339,8 +343,9 @@ def add_feature_set(df: DataFrame, feature_set: str = "v1") -> DataFrame:
     """v1, v2 (v1 and v2), v3 (all three) or m002 (all three and the regime block)."""
     from .regime_block import m002_features
 
-    chains = {"v1": (core_features,), "v2": (core_features, v2_features), "v3": (core_features, v2_features, v3_features),
-              "m002": (core_features, v2_features, v3_features, m002_features)}
+    v2_and_more = lambda d: v2_features(d, V3_EMAS)
+    chains = {"v1": (core_features,), "v2": (core_features, v2_features), "v3": (core_features, v2_and_more, v3_features),
+              "m002": (core_features, v2_and_more, v3_features, m002_features)}
     if feature_set not in chains:
         raise ValueError(f"unknown feature_set: {feature_set}")
     for step in chains[feature_set]:

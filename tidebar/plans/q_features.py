@@ -8,6 +8,7 @@ from ..functions.expr import SERIES
 from ..operators import features as f
 from ..operators import regime_block as m
 from ..operators.ewm import ewm
+from ..operators.ranges import in_ranges
 from . import sql_panel as sp
 from .registry import panel_query as pq
 
@@ -36,6 +37,11 @@ def late_means(d):
 
 
 pq("ewm_native", late_means, "late1", "slow fast", P)
+# The same operators with every series cut into ranges of 100 rows that read the rows before them.
+for key, fn, halo, src, cols in (("atr_v1", f.atr_v1, 15, "v1", "atr5 atr10 atr14"), ("stoch_v2", f.stoch_v2, 16, "v2c", "stochk5 stochk14 stochd14 stoch_spread"),
+                                 ("cci20", f.cci20, 39, "v2c", "cci20")):
+    pq(f"{key}_ranges", lambda d, fn=fn, halo=halo: in_ranges(d, fn, halo, rows=100), src, cols, P)
+
 pq("roc_v2", f.roc_v2, "v2a", "roc5 roc10 roc20")
 pq("rsi6", f.rsi6, "v2a", "rsi6", P)
 pq("stoch_v2", f.stoch_v2, "v2c", "stochk5 stochk14 stochd14 stoch_spread", P)

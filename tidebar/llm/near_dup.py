@@ -9,11 +9,12 @@ element are spread over the slots, which lowers the variance.
    Documents of equal sets form a class, found by an aggregate; from here on a class is one row, so thousands of copies
    cost nothing more.
 2. Classes meet in bands. In each band bucket every class is compared with the bucket's hub only, the class that shares most
-   buckets. Confirmed links are grouped by union-find, and buckets whose classes are all in one group are done.
-3. In the other buckets signatures of different groups are compared, in blocks of bounded size. Where they agree well
-   enough, the class of the smaller group is to be checked against the larger group: one row per class and group, not per
-   pair. Its set is then intersected with the sets of the group, again in blocks, and its best link is kept. So no link
-   between groups is lost, and near copies that miss their hub cost rows in proportion to their number.
+   buckets; a hub's classes are spread over blocks of bounded size, each with the hub's text. Confirmed links are grouped by
+   union-find, and buckets whose classes are all in one group are done.
+3. In the other buckets the classes meet in blocks of bounded size with signatures and full sets. A class of the bucket's
+   largest group is in one block, the others visit all and ask there, so every pair of different groups meets. Where
+   signatures agree well enough and no link of this task has joined the two groups already, the sets are intersected there.
+   Only confirmed links leave a task, fewer than the groups it has seen, so no rows grow with the square of a group.
 4. Links are confirmed on the full sets. The smallest doc_id of a group is its component. Groups are merged by large-star
    and small-star steps on the edge table; nothing is collected.
 
@@ -40,7 +41,7 @@ from .store import small_batches, stored
 from .words import chunks, mix, windows
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, slots binary"
-#: Rows of one bucket, and sets of one group, that are compared at once.
+#: Classes of one block of a bucket, and of one block of a hub.
 BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
 BROADCAST_ROWS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,94 +165,134 @@ def group_edges(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose full sets are similar enough: (a, b, inter, union_size).
+def _agreeing(slots: int, threshold: int) -> int:
+    """Slots that the signatures of a linked pair agree in, but for one pair in 150,000 at the threshold."""
+    j = threshold / 100
+    return int(slots * j - 4.4 * (slots * j * (1 - j)) ** 0.5)
+
 
-    Both texts are joined to a pair and their sets compared there. Rows that share a doc_id are one node of the graph,
-    linked if any of its texts is.
+class _Joined:
+    """Union-find over group roots: what the links given out so far have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.version = 0
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+        self.version += 1
+
+
+class _Block:
+    """The own classes of one block: signatures, groups, and an index from shingles to the sets that hold them."""
+
+    def __init__(self, slots: int):
+        self.ids, self.roots, self.sets, self.sigs = [], [], [], np.zeros((64, slots), np.uint16)
+        self.index, self.seen = None, -1
+
+    def add(self, own: int, root: int, elements: np.ndarray, sig: np.ndarray) -> None:
+        if len(self.ids) == len(self.sigs):
+            self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
+        self.sigs[len(self.ids)] = sig
+        self.ids.append(own)
+        self.roots.append(root)
+        self.sets.append(elements)
+
+    def ask(self, own: int, root: int, elements: np.ndarray, sig: np.ndarray, joined: _Joined, need: int, threshold: int, links: list) -> None:
+        """Add to ``links`` one class of each group, not joined yet, that has a set similar enough."""
+        if self.seen != joined.version:
+            self.tops, self.seen = np.array([joined.find(r) for r in self.roots], np.int64), joined.version
+        near = (self.tops != joined.find(root)) & ((self.sigs[:len(self.ids)] == sig).sum(1) >= need)
+        if not near.any():
+            return
+        if self.index is None:
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            sizes = np.array([len(x) for x in self.sets], np.int64)
+            self.index = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        flat, owner, sizes = self.index
+        low, high = np.searchsorted(flat, elements, "left"), np.searchsorted(flat, elements, "right")
+        count = high - low
+        hit = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        common = np.bincount(owner[hit], minlength=len(sizes))
+        for k in np.flatnonzero(near & (common * 100 >= threshold * (sizes + len(elements) - common))).tolist():
+            if joined.find(self.roots[k]) != joined.find(root):
+                joined.join(self.roots[k], root)
+                links.append((own, self.ids[k]))
+
+
+def _links_in_blocks(rows: DataFrame, need: int, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between classes of different groups that meet in a block of a bucket.
+
+    ``rows`` (band, key, block, visits, asks, class_id, root, slots, elements) are sorted by the first four: a block's own
+    classes come first and are held, then those that only visit it. Each class outside the bucket's largest group asks the
+    held ones: signatures say whether it may have a partner in a group that the task's earlier links have not joined to its
+    own, and then its full set is intersected with all held sets at once. A task gives out fewer links than it has groups.
     """
-    texts = docs.select("doc_id", "text")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(ids, texts):
-            for w in chunks(texts, lower=True, size=1_000_000):
-                elements, at = _distinct(w.hashes, w.word, n)
-                for k in range(len(w)):
-                    yield ids[w.first + k], elements[at[k]:at[k + 1]]
+        joined, now, block, waiting = _Joined(), None, None, []
+
+        def settle(links: list) -> None:
+            for x in waiting:
+                block.ask(*x, joined, need, threshold, links)
+            waiting.clear()
 
         for batch in batches:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            out = []
-            for (a, x), (b, y) in zip(sets(col["a"].to_pylist(), col["ta"]), sets(col["b"].to_pylist(), col["tb"])):
-                common = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if min(len(x), len(y)) * 100 >= threshold * max(len(x), len(y)) else 0
-                union = len(x) + len(y) - common
-                if common and common * 100 >= threshold * union:
-                    out.append((a, b, common, union))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "inter", "union_size"])
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            keys = list(zip(*(col[k].to_pylist() for k in ("band", "key", "block"))))
+            visits, asks, ids, roots = (col[k].to_pylist() for k in ("visits", "asks", "class_id", "root"))
+            sigs = np.frombuffer(b"".join(col["slots"].to_pylist()), np.uint16).reshape(len(keys), -1)
+            links: list[tuple[int, int]] = []
+            for r, key in enumerate(keys):
+                if key != now:
+                    settle(links)
+                    now, block = key, _Block(sigs.shape[1])
+                x = ids[r], roots[r], np.frombuffer(col["elements"][r].as_py(), np.uint64), sigs[r]
+                if not visits[r]:
+                    block.add(*x)
+                    if asks[r]:
+                        waiting.append(x)
+                else:
+                    settle(links)
+                    if block.ids:
+                        block.ask(*x, joined, need, threshold, links)
+            yield _link_rows(links)
+        links = []
+        settle(links)
+        yield _link_rows(links)
 
-    return both.mapInArrow(run, "a long, b long, inter long, union_size long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(slots: int, threshold: int) -> int:
-    """Slots that the signatures of a linked pair agree in, but for one pair in 150,000 at the threshold."""
-    j = threshold / 100
-    return int(slots * j - 4.4 * (slots * j * (1 - j)) ** 0.5)
+def _link_rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*links)) if links else [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _partners(rows: DataFrame, need: int) -> DataFrame:
-    """(x, root): classes to be checked against a group. ``rows`` holds the blocks of buckets, sorted by (band, key, block).
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(class_id, elements): the sorted distinct shingles of each text as bytes."""
 
-    A class outside the bucket's largest group is in every block of the bucket, and is compared with the block's own classes.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in chunks(batch.column(1), lower=True, size=1_000_000):
+                elements, at = _distinct(w.hashes, w.word, n)
+                blobs = [elements[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(w)), pa.array(blobs, pa.binary())], names=["class_id", "elements"])
 
-    def group(own: np.ndarray, largest, sizes, roots, ids, sigs, out: set) -> None:
-        for i in np.flatnonzero(roots != largest).tolist():
-            ok = own & (roots != roots[i]) & ((sigs == sigs[i]).sum(1) >= need)
-            for k in np.flatnonzero(ok).tolist():
-                if (sizes[k], -roots[k]) > (sizes[i], -roots[i]):
-                    out.add((int(ids[i]), int(roots[k])))
-                else:
-                    out.add((int(ids[k]), int(roots[i])))
+    return small_batches(texts).select("doc_id", "text").mapInArrow(run, "class_id long, elements binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        stream = iter(batches)
-        while True:
-            batch = next(stream, None)
-            if batch is not None:
-                t = pa.Table.from_batches([batch])
-                kept = t if kept is None else pa.concat_tables([kept, t])
-            if kept is None:
-                return
-            col = {n: kept.column(n).to_numpy(zero_copy_only=False) for n in ("band", "key", "block", "own", "largest", "class_id", "root", "group_size")}
-            new = np.zeros(kept.num_rows, bool)
-            for n in ("band", "key", "block"):
-                new[1:] |= col[n][1:] != col[n][:-1]
-            begin = np.concatenate([[0], np.flatnonzero(new), [kept.num_rows]])
-            whole = begin if batch is None else begin[:-1]  # the last group may go on in the next batch
-            out: set = set()
-            if whole[-1]:
-                sigs = np.frombuffer(b"".join(kept.column("slots").slice(0, int(whole[-1])).to_pylist()), np.uint16).reshape(int(whole[-1]), -1)
-                for a, b in zip(whole[:-1].tolist(), whole[1:].tolist()):
-                    if b - a > 1:
-                        group(col["own"][a:b], col["largest"][a], col["group_size"][a:b], col["root"][a:b], col["class_id"][a:b], sigs[a:b], out)
-            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "root"])
-            if batch is None:
-                return
-            kept = kept.slice(int(whole[-1]))
-
-    return rows.mapInArrow(run, "x long, root long")
-
-
-def _against_groups(rows: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Links (a, b): for every block of a group the best link of each class checked against it, if similar enough.
-
-    ``rows`` (root, block, asked, id, text) are sorted by root, block and asked, so a block's sets come before what is checked.
+
+def _against_hubs(rows: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Links (a, b): the classes asked in a block of a hub that are similar enough to it.
+
+    ``rows`` (root, block, asked, id, text) are sorted by root, block and asked, so the hub's set comes before what is checked.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,25 +347,26 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32
     texts = stored(docs.select("doc_id", "text").join(checked(wanted), "doc_id", "left_semi"), "texts")
 
     hub = members.groupBy("band", "key").agg(F.max_by("class_id", F.struct("degree", -F.col("class_id"))).alias("hub"))
-    pairs = members.join(hub, ["band", "key"]).where("class_id <> hub").select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b"))
-    links = stored(verified(stored(pairs.distinct(), "pairs"), texts, n, threshold).select("a", "b"), "links")
+    pairs = stored(members.join(hub, ["band", "key"]).where("class_id <> hub").select("hub", "class_id").distinct(), "pairs")
+    stars = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+    asked = pairs.join(stars, "hub").select(F.col("hub").alias("root"), F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)").alias("block"), F.lit(True).alias("asked"), F.col("class_id").alias("doc_id"))
+    work = asked.unionByName(stars.select(F.col("hub").alias("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asked"), F.col("hub").alias("doc_id")))
+    work = work.join(texts.hint("merge"), "doc_id").select("root", "block", "asked", "doc_id", "text").repartition("root", "block").sortWithinPartitions("root", "block", "asked")
+    links = stored(_against_hubs(work, n, threshold), "links")
 
     roots = group_edges(links).withColumnRenamed("node", "class_id")
     grouped = stored(reps.select("class_id").distinct().join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), "groups")
-    sizes = stored(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("group_size")), "group-sizes")
     labelled = stored(members.join(grouped, "class_id"), "labelled")
     undone = labelled.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("root", "n").alias("largest"), F.count(F.lit(1)).alias("groups"))
-    undone = labelled.join(undone.where("groups > 1").drop("groups"), ["band", "key"]).join(reps.select("class_id", "slots"), "class_id").join(sizes, "root")
+    undone = stored(labelled.join(undone.where("groups > 1").drop("groups"), ["band", "key"]).select("band", "key", "size", "class_id", "root", "largest"), "undone")
+    left = stored(undone.select("class_id").distinct().withColumnRenamed("class_id", "doc_id"), "left")
+    facts = _sets(texts.join(checked(left), "doc_id", "left_semi"), n).join(reps.select("class_id", "slots"), "class_id")
     undone = undone.withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")).withColumn("home", F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)"))
     visits = F.when(F.col("root") == F.col("largest"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    undone = undone.withColumn("block", F.explode(visits)).select("band", "key", "block", (F.col("block") == F.col("home")).alias("own"), "largest", "class_id", "root", "group_size", "slots")
-    undone = undone.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block")
-    asked = stored(_partners(undone, _agreeing(bands * rows, threshold)).distinct(), "asked").join(sizes, "root").withColumn("blocks", F.ceil(F.col("group_size") / GROUP_BLOCK).cast("int"))
-    targets = grouped.join(asked.select("root", "blocks").distinct(), "root")
-    work = targets.select("root", F.expr("CAST(pmod(xxhash64(class_id), blocks) AS INT)").alias("block"), F.lit(False).alias("asked"), F.col("class_id").alias("doc_id"))
-    work = work.unionByName(asked.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asked"), F.col("x").alias("doc_id")))
-    work = work.join(texts.hint("merge"), "doc_id").select("root", "block", "asked", "doc_id", "text").repartition("root", "block").sortWithinPartitions("root", "block", "asked")
-    links = links.unionByName(stored(_against_groups(work, n, threshold), "links"))
+    undone = undone.withColumn("block", F.explode(visits)).select("band", "key", "block", (F.col("block") != F.col("home")).alias("visits"), (F.col("root") != F.col("largest")).alias("asks"), "class_id", "root")
+    undone = undone.join(stored(facts, "sets"), "class_id").select("band", "key", "block", "visits", "asks", "class_id", "root", "slots", "elements")
+    undone = undone.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "visits")
+    links = links.unionByName(stored(_links_in_blocks(undone, _agreeing(bands * rows, threshold), threshold), "links"))
 
     roots = group_edges(links).withColumnRenamed("node", "class_id")
     top = reps.select("class_id", "key_a", "key_b").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))

@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming search, and exact verification.
 
 1. Seeds. A window can only reach the wanted similarity of five-word shingles if it shares a shingle with the item, so the
-   shingles of every document are joined to those of the items. Every window of the item's size is a candidate, wherever
+   shingles of every document are joined to those of the items (runs of as many words as the item has for shorter items). Every window of the item's size is a candidate, wherever
    its shared shingles stand in the item, if their weight is ``similarity`` of the item's at least. The similarity can't
    be reached with less, so no window that would be verified is lost by this.
 2. Fingerprints. A window and an item have a 64-bit SimHash of their words, each weighted by its length.
@@ -14,9 +14,9 @@ Only DataFrame functions are used. The seed index and the documents to fetch are
 up to ``BROADCAST_ROWS``; beyond, the joins shuffle. Words are runs of letters and digits, lower-cased, so case and
 punctuation do not hide a passage.
 
-Defined cases: null, empty or wordless texts and items match nothing; an item of fewer words than a shingle is one
-shingle and matches only documents of just these words; repeated documents each match; an empty benchmark leaves all documents; a null doc_id counts as an id; extra
-columns are ignored by ``matches`` and kept by ``clean_documents``.
+Defined cases: null, empty or wordless texts and items match nothing; an item of fewer words than a shingle is one shingle
+and matches every document that has just these words in a row; repeated documents each match; an empty benchmark leaves all
+documents; a null doc_id counts as an id; extra columns are ignored by ``matches`` and kept by ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -77,15 +77,29 @@ def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 15) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): each document and item with a similar window, the best one."""
     items = benchmark.select("item_id", words(F.col("text")).alias("iw")).where("size(iw) > 0").withColumn("n", F.size("iw"))
     items = stored(items.withColumn("ifp", simhash("iw")), "items")
-    index = items.select("item_id", "n", "iw", (weight_of(shingle_texts("iw", shingle)) * similarity - 1e-6).alias("need"), F.posexplode(shingle_hashes("iw", shingle)).alias("o", "h"))
-    index = stored(index.select("item_id", "n", "need", "h", F.expr(f"length(concat_ws('', slice(iw, o + 1, {shingle})))").alias("letters")).distinct(), "item-shingles")
+    # an item of fewer words than a shingle is sought by runs of its own number of words; there are shingle - 1 such numbers at most
+    sizes = [shingle, *sorted(r["n"] for r in items.where(F.col("n") < shingle).select("n").distinct().collect())]
+
+    def runs(df: DataFrame, name: str, k: int, *kept: str) -> DataFrame:
+        return df.select(*kept, F.lit(k).alias("k"), F.posexplode(shingle_hashes(name, k)).alias("p", "h"))
+
+    need = (weight_of(shingle_texts("iw", shingle)) * similarity - 1e-6).alias("need")
+    index = _together([runs(items.where(F.col("n") >= k if k == shingle else F.col("n") == k), "iw", k, "item_id", "n", "iw", need) for k in sizes])
+    index = stored(index.select("item_id", "n", "need", "k", "h", F.expr("length(concat_ws('', slice(iw, p + 1, k)))").alias("letters")).distinct(), "item-shingles")
 
     seen = docs.select("doc_id", words(F.col("text")).alias("dw"))
-    seeds = seen.select("doc_id", F.posexplode(shingle_hashes("dw", shingle)).alias("p", "h")).join(checked(index), "h")
+    seeds = _together([runs(seen.where(F.size("dw") >= k), "dw", k, "doc_id") for k in sizes]).join(checked(index), ["k", "h"])
     # a shared shingle is in all windows that start at most n - shingle words before it
     met = seeds.groupBy("doc_id", "item_id", "n", "need").agg(F.sum("letters").alias("total"), F.collect_list(F.struct("p", "letters")).alias("at")).where("total >= need")
     met = met.select("doc_id", "item_id", "n", "need", F.explode("at").alias("x"))

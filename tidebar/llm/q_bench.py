@@ -12,10 +12,11 @@ _LETTERS = "list_sum(list_transform({0}, lambda x: length(replace(x, ' ', ''))))
 
 SQL = f"""
 WITH i AS (SELECT item_id, w, len(w) AS n, {_SHINGLES.format('w')} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
-d AS (SELECT doc_id, w, {_SHINGLES.format('w')} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-ix AS (SELECT item_id, n, unnest(s) AS x, generate_subscripts(s, 1) AS o FROM i),
-dx AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS p FROM d),
-c AS (SELECT DISTINCT doc_id, item_id, n, greatest(p - o, 0) AS start FROM dx JOIN ix USING (x)),
+d AS (SELECT doc_id, w FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+k AS (SELECT DISTINCT least(n, 5) AS k FROM i WHERE n > 0),
+ix AS (SELECT item_id, n, least(n, 5) AS k, unnest(s) AS x FROM i),
+dx AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)),
+c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(p - 1 - greatest(n - 5, 0), 0), p)) AS start FROM dx JOIN ix USING (k, x)),
 v AS (SELECT c.doc_id, c.item_id, c.start, c.n, i.s AS a, {_SHINGLES.format('d.w[c.start + 1:c.start + c.n]')} AS b FROM c JOIN d USING (doc_id) JOIN i USING (item_id)),
 m AS (SELECT doc_id, item_id, start, n, {_LETTERS.format('list_intersect(a, b)')} / {_LETTERS.format('list_distinct(list_concat(a, b))')} AS y FROM v)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, round(y, 6) AS similarity FROM m WHERE y >= 0.8

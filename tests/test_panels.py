@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import clean, episodes, explorer, features, labels, learn, metrics, ordered, policy, ranking, regime_block, regimes, splits, trades
+from tidebar.operators import analytics, clean, episodes, explorer, features, labels, learn, metrics, ordered, panel, policy, ranking, regime_block, regimes, splits, trades
 from tidebar.operators.ewm import ewm
 from tidebar.sources import lake
 
@@ -149,6 +149,92 @@ def test_walk_forward_falls_back_to_one_split(spark):
     assert {(r.fold, r.role): r["count"] for _, r in got.iterrows()} == {(0, "train"): 8, (0, "valid"): 2}
 
 
+@pytest.mark.parametrize("small,accuracy", [(10_000, 10_000), (50, 100), (0, 1000)])
+def test_quantiles_from_brackets_are_exact(spark, monkeypatch, small, accuracy):
+    monkeypatch.setattr(ordered, "SMALL_GROUP", small)
+    monkeypatch.setattr(ordered, "ACCURACY", accuracy)
+    rng = np.random.default_rng(6)
+    rows = [("wide", float(x)) for x in rng.normal(0, 1, 4000)] + [("tied", 0.0)] * 3000 + [("tied", float(x)) for x in rng.integers(-2, 3, 2500)]
+    rows += [("few", float(x)) for x in range(7)] * (1 if small else 300) + [("none", None)] + [("skew", float(np.exp(5 * x))) for x in rng.normal(0, 1, 1500)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"a": 0.0, "b": 0.2, "c": 0.425, "d": 0.45, "e": 0.8, "f": 1.0}
+    got = ordered.exact_quantiles(d, ["g"], "v", probs).toPandas().set_index("g")
+    known = pd.DataFrame(rows, columns=["g", "v"]).dropna()
+    assert sorted(got.index) == sorted(set(known.g))
+    for g, own in known.groupby("g"):
+        np.testing.assert_allclose(got.loc[g].to_numpy(float), np.quantile(own.v, list(probs.values())), rtol=1e-12)
+    whole = ordered.exact_quantiles(d, [], "v", probs).first()
+    np.testing.assert_allclose(list(whole), np.quantile(known.v, list(probs.values())), rtol=1e-12)
+    assert ordered.exact_quantiles(d.where("v > 1e9"), ["g"], "v", probs).count() == 0
+
+
+def test_ranks_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    monkeypatch.setattr(ordered, "HOT_VALUES", 2)
+    rng = np.random.default_rng(7)
+    rows = [(i, "d1", 5.0) for i in range(2000)] + [(i, "d1", float(x)) for i, x in enumerate(rng.integers(0, 12, 300))] + [(i, "d2", float(i % 3)) for i in range(600)] + [(9, "d2", None)]
+    d = spark.createDataFrame(rows, "i long, date string, v double").repartition(4)
+    got = ordered.add_ranks(d, ["date"], "v").toPandas()
+    assert len(got) == len(rows)
+    for kind, method in (("dense_rank", "dense"), ("first_rank", "min"), ("average_rank", "average")):
+        want = got.groupby("date")["v"].rank(method=method, ascending=False)
+        assert (got[kind].fillna(-1) == want.fillna(-1)).all()
+
+
+def test_correlations_of_a_wide_frame(spark):
+    rng = np.random.default_rng(9)
+    n, k = 300, 60
+    x = 1e6 + rng.normal(0, 1, (n, 1)) * rng.normal(0, 1, k) + rng.normal(0, 1, (n, k))
+    x[rng.random((n, k)) < 0.2] = np.nan
+    x[:, 7], x[:, 8] = 3.0, np.nan
+    names = [f"f{i}" for i in range(k)]
+    frame = pd.DataFrame(x, columns=names)
+    d = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names)).repartition(4)
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in analytics.corr_matrix(d, names, rows_out=100).collect()}
+    want = frame.corr()
+    assert len(got) == k * (k - 1) // 2
+    for (a, b), r in got.items():
+        assert r is None if {a, b} & {"f7", "f8"} else r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_panel_joins_and_lists(spark):
+    base = spark.createDataFrame([("A", day(0)), ("A", day(1)), ("B", day(0)), (None, day(0))], "ticker string, date date")
+    preds = spark.createDataFrame([("A", day(1), 0.7, "LONG"), ("C", day(0), 0.1, "SHORT")], "ticker string, date date, prob double, action string")
+    got = {(r["ticker"], r["date"]): (r["prob"], r["action"]) for r in panel.join_panels(base, preds, fill={"prob": 0.0, "action": "FLAT"}).collect()}
+    assert got == {("A", day(0)): (0.0, "FLAT"), ("A", day(1)): (0.7, "LONG"), ("B", day(0)): (0.0, "FLAT"), (None, day(0)): (0.0, "FLAT")}
+    listed = spark.createDataFrame([("A", 1), ("A", 2), (None, 3)], "ticker string, x int")
+    assert panel.in_list(base, listed).count() == 2 and panel.in_list(base, listed, inside=False).count() == 2
+    sectors = panel.sector_table(spark, {"tech": ["a ", "B"], "old": ["b", "b"]})
+    both = panel.join_sectors(base, sectors).groupBy("sector").count().collect()
+    assert {r["sector"]: r["count"] for r in both} == {"tech": 3, "old": 1}
+    assert panel.join_sectors(base.limit(0), sectors).count() == 0
+
+
+def test_panel_summaries(spark):
+    rows = [("A", day(0), 1.0, 2.0, 1), ("B", day(0), 3.0, 2.0, 0), ("A", day(1), 1.0, 3.0, -1), ("B", day(1), 1.0, 2.0, 1), ("C", day(1), 5.0, None, None)]
+    d = spark.createDataFrame(rows, "ticker string, date date, open double, close double, y int")
+    rates = {r["date"]: (r["any"], r["up"]) for r in panel.class_rates(d, "y", {"any": None, "up": 1}).collect()}
+    assert rates == {day(0): (0.5, 0.5), day(1): (1.0, 0.5)}  # a row without a label has no say
+    assert {r["ticker"]: (r["close_count"], r["close_max"]) for r in panel.summary(d, {"close": ["count", "max"]}).collect()} == {"A": (2, 3.0), "B": (2, 2.0), "C": (0, None)}
+    assert {r["y"]: r["n"] for r in panel.value_share(d, "y").collect()} == {1: 2, 0: 1, -1: 1, None: 1}
+    assert {r["ticker"]: r["share"] for r in panel.rising_share(d).collect()} == {"A": 1.0, "B": 0.5}
+    assert {r["date"]: (r["state_a"], r["same"]) for r in panel.state_agreement(d, d.where("ticker <> 'A'")).collect()} == {day(0): ("DOWN", True), day(1): ("UP", False)}
+    assert panel.distinct_values(d).count() == 5
+
+
+@pytest.mark.parametrize("seq_len,size", [(5, 8), (5, 1), (1, 3), (20, 512)])
+def test_windows_cut_out_of_chunks(spark, seq_len, size):
+    d = make_panel(spark, {"A": 61, "B": 4, "C": 1, "D": 16}, gaps=True).withColumn("y", F.col("close") > F.col("open"))
+    names = ["close", "volume"]
+    chunks = splits.seq_chunks(d, names, seq_len, "y", size)
+    stored = sum(len(r["bars"]) for r in chunks.collect())
+    assert stored < 2 * d.count()
+    for drop in (False, True):
+        a, b = (sorted(map(repr, x.collect())) for x in (splits.seq_windows(d, names, seq_len, "y", drop), splits.chunk_windows(chunks, names, seq_len, "y", drop)))
+        assert a == b
+    assert splits.chunk_windows(splits.seq_chunks(d.limit(0), names, seq_len), names, seq_len).count() == 0
+
+
 def test_oversample_reaches_the_largest_class(spark):
     rows = [("A", day(i), 0 if i < 37 else (1 if i < 47 else 2)) for i in range(50)]
     df = spark.createDataFrame(rows, "ticker string, date date, y int")

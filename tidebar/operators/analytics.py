@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,12 +13,42 @@ from pyspark.sql.window import Window
 from .ordered import exact_quantiles, pinned
 
 
-def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, all pairs in one aggregate; one row per pair."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    entries = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
-    return row.select(F.explode(entries).alias("e")).select("e.*").withColumn("abs_r", F.abs("r"))
+def corr_matrix(df: DataFrame, cols: list[str], rows_out: int = 50_000) -> DataFrame:
+    """Pearson correlation of every pair of columns over the rows that have both; one row per pair.
+
+    Rows become arrays, and each task adds up matrix products of its batches: counts, sums, squares and products of all pairs at
+    once, taken from provisional means so that large values do not cancel. Tasks give out their sums, one row per pair, and
+    Spark adds them; the plan is the same for three columns and for hundreds. A pair without variance has no correlation.
+    """
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    values = df.select(F.array(*[F.col(x).cast("double") for x in cols]).alias("x"))
+    means = df.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{i}") for i, x in enumerate(cols)]).first()
+    shift = np.array([m or 0.0 for m in means])
+    names = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, k)
+            x = np.where(known, flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, k) - shift, 0.0)
+            m = known.astype(np.float64)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        for a in range(0, len(at), rows_out):
+            i, j = at[a:a + rows_out].T
+            n, s, q, p = sums
+            columns = [i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    parts = values.mapInArrow(run, "i int, j int, " + ", ".join(f"{x} double" for x in names[2:]))
+    t = parts.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in names[2:]])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
+    label = F.array(*[F.lit(x) for x in cols])
+    r = F.when(n > 1, F.try_divide(n * F.col("sxy") - sx * sy, spread))
+    return t.select(label[F.col("i")].alias("feature_a"), label[F.col("j")].alias("feature_b"), r.alias("r")).withColumn("abs_r", F.abs("r"))
 
 
 def melt_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -28,7 +62,7 @@ def event_pred_score(df: DataFrame, features: list[str], label: str, need: int =
     base = pinned(df.where(F.col(label).isNotNull()).select("date", "ticker", label, *features))
     long = melt_features(base, features, ["date", label]).where(F.col("value").isNotNull())
     keys = ["date", "feature"]
-    cuts = exact_quantiles(long, keys, "value", {"_hi": 0.8, "_lo": 0.2})
+    cuts = exact_quantiles(long, keys, "value", {"_hi": 0.8, "_lo": 0.2}, pin=False)
     y, v = F.col(label), F.col("value")
     event = (y != 0).cast("double")
     s = long.join(cuts, keys).groupBy(*keys).agg(

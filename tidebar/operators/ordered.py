@@ -67,35 +67,87 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column | str], sums
     return out.drop("_slice", *[f"_{k}_off" for k in sums], *(["_all"] if alone else []))
 
 
+#: Most frequent values whose ranks are broadcast, and rows that make a value frequent.
+HOT_VALUES, HOT_ROWS = 1000, 50_000
+
+
 def add_ranks(df: DataFrame, by: list[str], value: str, descending: bool = True, prefix: str = "") -> DataFrame:
-    """Add dense, first and average rank of ``value`` inside each group; null values stay unranked."""
+    """Add dense, first and average rank of ``value`` inside each group; null values stay unranked.
+
+    Ranks are found per distinct value. The most frequent values, at most ``HOT_VALUES``, hand them out by a broadcast, so that
+    rows which share one value stay where they are; the rows of all others meet theirs in a shuffle.
+    """
     some = df.where(F.col(value).isNotNull())
     order = F.col(value).desc() if descending else F.col(value).asc()
     tot = running_totals(some, by, [order], {"_n": F.count(F.lit(1)), "_d": F.max(F.lit(1))}, keep=[value])
-    ranks = tot.select(
-        *by, value,
-        (F.col("_d_before") + 1).alias(f"{prefix}dense_rank"),
-        (F.col("_n_before") + 1).alias(f"{prefix}first_rank"),
-        (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(f"{prefix}average_rank"),
-    )
-    return df.join(ranks, [*by, value], "left")
-
-
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group, one row per group."""
-    some = df.where(F.col(value).isNotNull())
-    tot = running_totals(some, by, [value], {"_n": F.count(F.lit(1))})
+    names = [f"{prefix}dense_rank", f"{prefix}first_rank", f"{prefix}average_rank"]
+    first = F.col("_n_before") + 1
+    ranks = tot.select(*by, value, "_n", (F.col("_d_before") + 1).alias(names[0]), first.alias(names[1]), (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(names[2]))
+    hot = pinned(ranks.where(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), *by, value).limit(HOT_VALUES).drop("_n"))
+    hot = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in names}))
+    d = df.join(hot, [*by, value], "left")
+    # A row with a hot value looks up a number of its own instead, which spreads such rows; what it may find there is not used.
+    spread = F.xxhash64(*df.columns).cast(df.schema[value].dataType)
+    d = d.withColumn("_key", F.when(F.col(f"_hot_{names[0]}").isNull(), F.col(value)).otherwise(spread))
+    d = d.join(ranks.drop("_n").withColumnRenamed(value, "_key"), [*by, "_key"], "left")
+    return d.select(*df.columns, *[F.coalesce(f"_hot_{k}", k).alias(k) for k in names])
+
+
+#: Groups up to so many rows are ordered whole; the sketches of larger ones err by one in ACCURACY rows.
+SMALL_GROUP, ACCURACY, FEW_GROUPS = 10_000, 10_000, 100_000
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], pin: bool = True) -> DataFrame:
+    """Linearly interpolated quantiles per group, one row per group. With ``pin`` the values are checkpointed, as they are read
+    more than once; a frame that is pinned already needs none. A counting job runs when this is called.
+
+    A group of up to ``SMALL_GROUP`` rows is one exact aggregate. In larger ones mergeable sketches give each quantile a bracket
+    that must hold it; rows outside are only counted, and the distinct values inside, a few in ten thousand, are put in order.
+    No row is shuffled for that, whatever the size of a group.
+    """
+    keys = by or ["_all"]
+    some = df.where(F.col(value).isNotNull()).select(*by, value)
+    some = some if by else some.withColumn("_all", F.lit(0))
+    some = pinned(some) if pin else some
+    sizes = pinned(some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
+    groups, most, least = sizes.agg(F.count(F.lit(1)), F.max("_size"), F.min("_size")).first()
+    large, small = (most or 0) > SMALL_GROUP, (least or 0) <= SMALL_GROUP
+    if large and small:
+        some = some.join(F.broadcast(sizes) if groups <= FEW_GROUPS else sizes, keys)
+    parts = []
+    if small:
+        own = some.where(F.col("_size") <= SMALL_GROUP) if large else some
+        parts.append(own.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(k) for k, p in probs.items()]).select(*by, *probs))
+    if large:
+        parts.append(_bracketed(some.where(F.col("_size") > SMALL_GROUP) if small else some, keys, value, probs, groups).select(*by, *probs))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _bracketed(some: DataFrame, keys: list[str], value: str, probs: dict[str, float], groups: int) -> DataFrame:
+    """Quantiles of groups that are larger than the error of their sketches."""
+    eps = 4 / ACCURACY
+    ends = [x for p in probs.values() for x in (max(p - eps, 0.0), min(p + eps, 1.0))]
+    near = F.percentile_approx(value, F.array(*[F.lit(x) for x in ends]), ACCURACY).alias("_ends")
+    sketches = pinned(some.groupBy(*keys).agg(near, F.count(F.lit(1)).alias("_total"), F.min(value).alias("_min"), F.max(value).alias("_max")))
+    d = some.join(F.broadcast(sketches) if groups <= FEW_GROUPS else sketches, keys)
+    v = F.col(value)
+    low = [F.col("_min") if x == 0.0 else F.col("_ends")[2 * i] for i, x in enumerate(ends[::2])]
+    high = [F.col("_max") if x == 1.0 else F.col("_ends")[2 * i + 1] for i, x in enumerate(ends[1::2])]
+    inside = F.lit(False)
+    for lo, hi in zip(low, high):
+        inside = inside | ((v >= lo) & (v <= hi))
+    under = [F.when(hi < v, hi) for hi in high]
+    # Rows between two brackets count as one value that follows all of the lower bracket.
+    place = F.when(inside, v).otherwise(F.greatest(*under) if len(under) > 1 else under[0])
+    d = d.select(*keys, "_total", place.alias("_v"), F.when(inside, 0).otherwise(1).alias("_out"))
+    tot = running_totals(d, [*keys, "_total"], ["_v", "_out"], {"_n": F.count(F.lit(1))})
     first, after = F.col("_n_before"), F.col("_n_before") + F.col("_n")
-    aggs = []
+    found = F.when(F.col("_out") == 0, F.col("_v")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")))
+    aggs, cols = [], []
     for name, p in probs.items():
-        at = (F.col("_n_total") - 1) * F.lit(p)
+        at = (F.col("_total") - 1) * F.lit(p)
         for tag, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((first <= k) & (k < after), F.col(value))).alias(f"_{name}_{tag}"))
-    got = tot.groupBy(*by).agg(F.max("_n_total").alias("_size"), *aggs)
-    cols = []
-    for name, p in probs.items():
-        at = (F.col("_size") - 1) * F.lit(p)
-        part = at - F.floor(at)
+            aggs.append(F.max(F.when((first <= k) & (k < after), found)).alias(f"_{name}_{tag}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        cols.append((lo + (hi - lo) * part).alias(name))
-    return got.select(*by, *cols)
+        cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return tot.groupBy(*keys, "_total").agg(*aggs).select(*keys, *cols)

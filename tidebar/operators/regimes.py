@@ -62,7 +62,7 @@ def regime_label_simple(df: DataFrame) -> DataFrame:
     long = d.select(F.explode(F.array(
         F.struct(F.lit("s").alias("_k"), F.col("slope").alias("_v")), F.struct(F.lit("k").alias("_k"), F.col("curvature").alias("_v")),
         F.struct(F.lit("v").alias("_k"), F.coalesce("volatility", F.lit(0.0)).alias("_v")))).alias("_e")).select("_e.*")
-    q = exact_quantiles(long, ["_k"], "_v", {"_p15": 0.15, "_p50": 0.5, "_p85": 0.85})
+    q = exact_quantiles(long, ["_k"], "_v", {"_p15": 0.15, "_p50": 0.5, "_p85": 0.85}, pin=False)
     cuts = q.groupBy().agg(*[F.max(F.when(F.col("_k") == k, F.col(p))).alias(out) for k, p, out in (
         ("s", "_p85", "_s85"), ("s", "_p15", "_s15"), ("k", "_p15", "_k15"), ("v", "_p50", "_vmed"))]).withColumn("_all", F.lit(0))
     d = d.withColumn("_all", F.lit(0)).join(F.broadcast(cuts), "_all")

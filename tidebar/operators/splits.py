@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import c, trailing
+from ..functions.expr import by_ticker, c, trailing
 from .ordered import running_totals
 
 
@@ -123,6 +123,36 @@ def seq_windows(df: DataFrame, features: list[str], seq_len: int = 20, target: s
     return d.select("ticker", "date", "window", *([target] if target else []))
 
 
+def seq_chunks(df: DataFrame, features: list[str], seq_len: int = 20, target: str | None = None, size: int = 512) -> DataFrame:
+    """The series in pieces from which all windows can be cut: (ticker, chunk, first, bars), first the place of the first bar.
+
+    A chunk holds ``size`` bars of its own and the ``seq_len - 1`` before them, so a bar is stored once or, near a border, twice,
+    while every window as a row of its own stores it ``seq_len`` times. ``size`` is raised to ``seq_len`` at least.
+    """
+    size = max(size, seq_len)
+    d = df.withColumn("_i", F.row_number().over(by_ticker()) - 1)
+    own = (F.col("_i") / size).cast("int")
+    # the last bars of a chunk also stand before the bars of the next
+    late = F.col("_i") % size > size - seq_len
+    d = d.withColumn("chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    bar = F.struct(F.col("_i").alias("place"), "date", *features, *([target] if target else []))
+    chunks = d.groupBy("ticker", "chunk").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    chunks = chunks.where(F.element_at("bars", -1)["place"] >= F.col("chunk") * size)  # not a chunk of earlier bars alone
+    return chunks.select("ticker", "chunk", F.col("bars")[0]["place"].alias("first"), "bars")
+
+
+def chunk_windows(chunks: DataFrame, features: list[str], seq_len: int = 20, target: str | None = None, drop_nulls: bool = False) -> DataFrame:
+    """The windows of ``seq_windows``, cut out of chunks as they are read: row filters before this see (chunk, offset) only."""
+    d = chunks.where(F.size("bars") >= seq_len).withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("bars") - seq_len)))
+    d = d.withColumn("_bars", F.slice("bars", F.col("offset") + 1, F.lit(seq_len)))
+    if drop_nulls:
+        gap = lambda r: F.greatest(*[r[k].isNull() for k in features]) if len(features) > 1 else r[features[0]].isNull()
+        d = d.where(~F.exists("_bars", gap))
+    last = F.element_at("_bars", -1)
+    window = F.transform("_bars", lambda r: F.struct(*[r[k].alias(k) for k in features]))
+    return d.select("ticker", last["date"].alias("date"), window.alias("window"), *([last[target].alias(target)] if target else []))
+
+
 def class_counts(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or []), label).agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import c
 from ..functions.text import parse_date, parse_numf, parse_numi, tidy_codes
 from ..operators import clean as cl
+from ..operators import panel as pn
 from ..operators import splits as sp
 from ..operators.features import atr_v1
 from ..operators.regime_block import EVENTS, m002_features
@@ -359,8 +360,7 @@ def preds(spark, sf, whole=False):
 @query("join_left_panel", with_("preds", f"SELECT b.ticker, strftime(b.date, '%Y-%m-%d') AS date, coalesce(p.prob, 0) AS prob, coalesce(p.action, 'FLAT') AS action "
                                 f"FROM bars b LEFT JOIN (SELECT * FROM preds WHERE {PREDS}) p ON b.ticker = p.ticker AND b.date = p.date"))
 def _(spark, sf):
-    d = bars(spark, sf).select("ticker", "date").join(preds(spark, sf), ["ticker", "date"], "left")
-    return shown(d.fillna({"prob": 0.0, "action": "FLAT"}))
+    return shown(pn.join_panels(bars(spark, sf).select("ticker", "date"), preds(spark, sf), fill={"prob": 0.0, "action": "FLAT"}))
 
 
 @query("join_merge3", with_("preds v1", f"SELECT b.ticker, strftime(b.date, '%Y-%m-%d') AS date, round(b.close, 8) AS close, {sr('f.atr14', 4)} AS atr14, p.prob AS pred_prob "
@@ -369,28 +369,21 @@ def _(spark, sf):
     b = bars(spark, sf)
     feats = atr_v1(b).select("ticker", "date", "atr14")
     p = preds(spark, sf).select("ticker", "date", F.col("prob").alias("pred_prob"))
-    d = b.select("ticker", "date", "close").join(feats, ["ticker", "date"], "left").join(p, ["ticker", "date"], "left")
-    return shown(d, {"close": 8, "atr14": 4})
+    return shown(pn.join_panels(b.select("ticker", "date", "close"), feats, p), {"close": 8, "atr14": 4})
 
 
 @query("join_inner_key", with_("bars", f"SELECT a.ticker, n, up, {sr('up / n')} AS share FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) a "
                                "JOIN (SELECT ticker, count(*) AS up FROM bars WHERE close > open GROUP BY ticker) b ON a.ticker = b.ticker"))
 def _(spark, sf):
-    d = bars(spark, sf).groupBy("ticker").agg(F.count("*").alias("n"), F.count_if(F.col("close") > F.col("open")).alias("up")).where("up > 0")
-    return shown(d.withColumn("share", F.col("up") / F.col("n")))
+    return shown(pn.rising_share(bars(spark, sf)))
 
 
 @query("join_inner_date", with_("bars", """SELECT strftime(a.date, '%Y-%m-%d') AS date, a.state AS state_a, b.state AS state_b, CAST(a.state = b.state AS BIGINT) AS same
   FROM (SELECT date, CASE WHEN sum(CASE WHEN close > open THEN 1 ELSE 0 END) * 2 > count(*) THEN 'UP' ELSE 'DOWN' END AS state FROM bars GROUP BY date) a
   JOIN (SELECT date, CASE WHEN sum(CASE WHEN close > open THEN 1 ELSE 0 END) * 2 > count(*) THEN 'UP' ELSE 'DOWN' END AS state FROM bars WHERE market = 'ASIA' GROUP BY date) b ON a.date = b.date"""))
 def _(spark, sf):
-    def breadth(d, out):
-        up = F.count_if(F.col("close") > F.col("open")) * 2 > F.count("*")
-        return d.groupBy("date").agg(F.when(up, "UP").otherwise("DOWN").alias(out))
-
     b = bars(spark, sf, dims=True)
-    d = breadth(b, "state_a").join(breadth(b.where(F.col("market") == "ASIA"), "state_b"), "date")
-    return shown(d.withColumn("same", F.col("state_a") == F.col("state_b")))
+    return shown(pn.state_agreement(b, b.where(F.col("market") == "ASIA")))
 
 
 RICH = "SELECT printf('S%09d', s_suppkey) FROM supplier WHERE s_acctbal > 5000"
@@ -402,12 +395,12 @@ def rich(spark, sf):
 
 @query("semi_in_list", with_("bars", f"SELECT {KEYS}, round(close, 8) AS close FROM bars WHERE ticker IN ({RICH})"))
 def _(spark, sf):
-    return shown(bars(spark, sf).select("ticker", "date", "close").join(rich(spark, sf), "ticker", "left_semi"), 8)
+    return shown(pn.in_list(bars(spark, sf).select("ticker", "date", "close"), rich(spark, sf)), 8)
 
 
 @query("anti_in_list", with_("bars", f"SELECT {KEYS}, round(close, 8) AS close FROM bars WHERE ticker NOT IN ({RICH})"))
 def _(spark, sf):
-    return shown(bars(spark, sf).select("ticker", "date", "close").join(rich(spark, sf), "ticker", "left_anti"), 8)
+    return shown(pn.in_list(bars(spark, sf).select("ticker", "date", "close"), rich(spark, sf), inside=False), 8)
 
 
 SECTORS = 10
@@ -423,25 +416,21 @@ def sector_map(spark, sf):
 @query("sector_join", with_("bars", f"""SELECT sector, count(*) AS rows, count(DISTINCT b.ticker) AS tickers, CAST(sum(CAST(turnover AS DECIMAL(18, 2))) AS DOUBLE) AS turnover FROM bars b JOIN
   (SELECT DISTINCT printf('S%09d', s_suppkey) AS ticker, concat('sector_', unnest([s_suppkey % 10, CAST(s_nationkey % 10 AS BIGINT)])) AS sector FROM supplier) m ON b.ticker = m.ticker GROUP BY sector"""))
 def _(spark, sf):
-    d = bars(spark, sf).select("ticker", "turnover").join(sector_map(spark, sf), "ticker")
-    return shown(d.groupBy("sector").agg(F.count("*").alias("rows"), F.count_distinct("ticker").alias("tickers"), F.sum(F.col("turnover").cast("decimal(18,2)")).cast("double").alias("turnover")), 2)
+    return shown(pn.sector_summary(bars(spark, sf), sector_map(spark, sf)), 2)
 
 
 # ---- aggregates ----
 
 @query("agg_event_rate_date", with_("lab", f"SELECT strftime(date, '%Y-%m-%d') AS date, {sr('avg(CASE WHEN label_1d_cls <> 0 THEN 1.0 ELSE 0.0 END)')} AS event_rate FROM lab GROUP BY date"))
 def _(spark, sf):
-    return shown(inp.labelled(spark, sf).groupBy("date").agg(F.avg((F.col("label_1d_cls") != 0).cast("double")).alias("event_rate")))
+    return shown(pn.class_rates(inp.labelled(spark, sf), "label_1d_cls", {"event_rate": None}))
 
 
 @query("agg_direction_rate_date", with_("lab", "SELECT strftime(date, '%Y-%m-%d') AS date, " + ", ".join(
     f"{sr(f'avg(CASE WHEN label_1d_cls {op} THEN 1.0 ELSE 0.0 END)')} AS {k}" for k, op in
     (("direction_event_rate", "<> 0"), ("positive_rate", "= 1"), ("negative_rate", "= -1"))) + " FROM lab GROUP BY date"))
 def _(spark, sf):
-    y = F.col("label_1d_cls")
-    return shown(inp.labelled(spark, sf).groupBy("date").agg(
-        F.avg((y != 0).cast("double")).alias("direction_event_rate"), F.avg((y == 1).cast("double")).alias("positive_rate"),
-        F.avg((y == -1).cast("double")).alias("negative_rate")))
+    return shown(pn.class_rates(inp.labelled(spark, sf), "label_1d_cls", {"direction_event_rate": None, "positive_rate": 1, "negative_rate": -1}))
 
 
 @query("agg_monthly_events", with_("bm", "SELECT strftime(date, '%Y-%m') AS year_month, CAST(sum(big_move_event) AS BIGINT) AS events FROM bm GROUP BY 1"))
@@ -452,9 +441,7 @@ def _(spark, sf):
 @query("agg_summary_ticker", with_("bars", f"SELECT ticker, count(close) AS close_count, {sr('avg(close)', 2)} AS close_mean, {sr('stddev_samp(close)', 2)} AS close_std, "
                                    "round(min(close), 8) AS close_min, round(max(close), 8) AS close_max, " + sr("avg(volume)", 2) + " AS volume_mean, CAST(sum(volume) AS DOUBLE) AS volume_sum FROM bars GROUP BY ticker"))
 def _(spark, sf):
-    d = bars(spark, sf).groupBy("ticker").agg(
-        F.count("close").alias("close_count"), F.avg("close").alias("close_mean"), F.stddev_samp("close").alias("close_std"),
-        F.min("close").alias("close_min"), F.max("close").alias("close_max"), F.avg("volume").alias("volume_mean"), F.sum("volume").alias("volume_sum"))
+    d = pn.summary(bars(spark, sf), {"close": ["count", "mean", "std", "min", "max"], "volume": ["mean", "sum"]})
     return shown(d, {"*": 2, "close_min": 8, "close_max": 8})
 
 
@@ -465,10 +452,7 @@ def _(spark, sf):
 
 @query("agg_value_share", with_("preds", f"SELECT action, count(*) AS n, {sr('count(*) / sum(count(*)) OVER ()')} AS share FROM preds GROUP BY action"))
 def _(spark, sf):
-    from pyspark.sql.window import Window
-
-    d = preds(spark, sf, whole=True).groupBy("action").agg(F.count("*").alias("n"))
-    return shown(d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+    return shown(pn.value_share(preds(spark, sf, whole=True), "action"))
 
 
 @query("agg_zscore_stats", with_("v1", " UNION ALL ".join(
@@ -518,9 +502,7 @@ def _(spark, sf):
 
 @query("distinct_values", with_("bars", "SELECT 'ticker' AS kind, ticker AS value FROM (SELECT DISTINCT ticker FROM bars) UNION ALL SELECT 'date', strftime(date, '%Y-%m-%d') FROM (SELECT DISTINCT date FROM bars)"))
 def _(spark, sf):
-    b = bars(spark, sf)
-    return (b.select("ticker").distinct().select(F.lit("ticker").alias("kind"), F.col("ticker").alias("value"))
-            .unionByName(b.select("date").distinct().select(F.lit("date").alias("kind"), F.date_format("date", "yyyy-MM-dd").alias("value"))))
+    return pn.distinct_values(bars(spark, sf))
 
 
 @query("ticker_sample", with_("bars", f"SELECT {KEYS}, round(close, 8) AS close FROM bars WHERE ticker IN (SELECT ticker FROM (SELECT DISTINCT ticker FROM bars) ORDER BY md5(ticker || '42'), ticker LIMIT 7)"))

@@ -10,6 +10,7 @@ from ..operators import ranking as rk
 from ..operators import splits as sp
 from ..operators.features import atr_v1, returns
 from ..operators.regimes import STATES
+from ..sources.lake import new_folder
 from . import inputs as inp
 from .inputs import bars
 from .registry import cte, panel_query, query, shown, sr, with_
@@ -94,15 +95,29 @@ def _(spark, sf):
 
 # ---- windows for sequence models ----
 
-@query("seq_windows", with_("lab", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(y AS BIGINT) AS label, CAST(len(a) AS BIGINT) AS steps, round(list_sum(a) + 3.7e-7, 3) + 0.0 AS close_sum, CAST(list_sum(v) AS BIGINT) AS volume_sum FROM
-  (SELECT ticker, date, label_1d_cls AS y, list(close) OVER w AS a, list(volume) OVER w AS v FROM lab WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)) WHERE len(a) = 20"""))
-def _(spark, sf):
-    d = sp.seq_windows(inp.labelled(spark, sf), ["close", "volume"], 20, "label_1d_cls")
+SEQ_SQL = with_("lab", """SELECT ticker, strftime(date, '%Y-%m-%d') AS date, CAST(y AS BIGINT) AS label, CAST(len(a) AS BIGINT) AS steps, round(list_sum(a) + 3.7e-7, 3) + 0.0 AS close_sum, CAST(list_sum(v) AS BIGINT) AS volume_sum FROM
+  (SELECT ticker, date, label_1d_cls AS y, list(close) OVER w AS a, list(volume) OVER w AS v FROM lab WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)) WHERE len(a) = 20""")
+
+
+def _window_sums(d):
     total = lambda k: F.aggregate("window", F.lit(0.0), lambda a, r: a + r[k])
     return shown(d.select("ticker", "date", F.col("label_1d_cls").alias("label"), F.size("window").alias("steps"), total("close").alias("close_sum"),
                           total("volume").cast("long").alias("volume_sum")), 3)
 
 
+@query("seq_windows", SEQ_SQL)
+def _(spark, sf):
+    return _window_sums(sp.seq_windows(inp.labelled(spark, sf), ["close", "volume"], 20, "label_1d_cls"))
+
+
+@query("seq_chunks", SEQ_SQL)
+def _(spark, sf):
+    """The same windows, cut out of stored chunks."""
+    path = new_folder(spark, "chunks")
+    sp.seq_chunks(inp.labelled(spark, sf), ["close", "volume"], 20, "label_1d_cls", size=64).write.parquet(path)
+    return _window_sums(sp.chunk_windows(spark.read.parquet(path), ["close", "volume"], 20, "label_1d_cls"))
+
+
 @query("oversample_balance", with_("lab", f"""SELECT {KEYS}, CAST(y AS BIGINT) AS label_1d_cls, CAST(unnest(generate_series(1, copies)) AS BIGINT) AS copy FROM
   (SELECT *, CAST(floor(top / n) AS BIGINT) + CASE WHEN r < top % n THEN 1 ELSE 0 END AS copies FROM
   (SELECT *, max(n) OVER () AS top FROM (SELECT ticker, date, label_1d_cls AS y, count(*) OVER (PARTITION BY label_1d_cls) AS n,

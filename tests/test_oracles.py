@@ -12,7 +12,8 @@ SOME = ["parse_numf", "norm_kr", "norm_us", "src_ingest_tree", "src_load_silver"
         "corr_matrix", "dedupe", "atr_v1", "rsi_v1", "macd_v2", "cci20", "v3_fill", "curv_2", "smoothers", "days_since_event", "label_big_move",
         "split_walk_forward", "split_random_strat", "oversample_balance", "turnover_rank_avg", "topn_per_date", "x_rsi_wilder", "episode_assign", "episode_zscore",
         "ep_performance", "regime_label", "regime_label_simple", "regime_transition", "policy_action", "policy_grid", "trades_long_flat", "perf_stats",
-        "metric_roc_auc", "metric_pr_auc", "threshold_curve", "event_pred_score", "stream_ingest"]
+        "metric_roc_auc", "metric_pr_auc", "threshold_curve", "event_pred_score", "stream_ingest",
+        "stream_correction", "build_dataset", "policy_quantiles", "regime_cluster", "calibrate_isotonic", "ep_report_fields", "cci20_ranges"]
 KEYS = sorted(entry.oracle_sql()) if os.environ.get("TIDEBAR_ALL") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")

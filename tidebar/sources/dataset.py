@@ -21,14 +21,20 @@ def build_dataset(spark: SparkSession, root: str, market=None, exchanges=None, t
 
     Returns the dataset and the mean and deviation that scaled each feature. Given ``stats`` win; features without any are
     measured over all rows. ``fill_prices`` carries prices over null bars before features are computed. With ``cache``, a
-    folder, dataset and statistics are stored under a key of all parameters and the lake's files, and read back from there.
+    folder, dataset and statistics are stored under a key of all parameters and the lake's files, and read back from there. The
+    statistics are written first, so a dataset that is complete has its statistics whatever was interrupted before.
     """
     params = {"market": market, "exchanges": exchanges, "tickers": tickers, "years": years, "start": start, "end": end, "max_tickers": max_tickers, "feature_set": feature_set,
               "label_horizon": label_horizon, "label_task": label_task, "label_thresh": label_thresh, "columns": columns, "drop_nulls": drop_nulls, "normalize": normalize,
               "stats": stats, "fill_prices": fill_prices}
     used: Stats = {}
+    version = lake_version(spark, root) if cache is not None else ""
+    stats_path = f"{cache}/{dataset_key(params, version)}-stats"
+    built = False
 
     def build() -> DataFrame:
+        nonlocal built
+        built = True
         df = load_silver(spark, root, market, exchanges, tickers, years, start, end, max_tickers)
         df = add_feature_set(ffill_prices(df) if fill_prices else df, feature_set)
         df = future_return_labels(df, label_horizon, label_task, label_thresh)
@@ -37,16 +43,14 @@ def build_dataset(spark: SparkSession, root: str, market=None, exchanges=None, t
             used.update(found)
         if drop_nulls:
             df = drop_null_rows(df)
+        if cache is not None and normalize:
+            rows = [(k, m, d) for k, (m, d) in used.items()]
+            write_stats(spark.createDataFrame(rows, "feature string, mean double, std double"), stats_path)
         return df.select(*columns) if columns else df
 
     if cache is None:
         return build(), used
-    version = lake_version(spark, root)
     df = cached_dataset(spark, cache, params, version, build, refresh)
-    path = f"{cache}/{dataset_key(params, version)}-stats"
-    if used:
-        rows = [(k, m, s) for k, (m, s) in used.items()]
-        write_stats(spark.createDataFrame(rows, "feature string, mean double, std double"), path)
-    elif normalize:
-        used = {r["feature"]: (r["mean"], r["std"]) for r in stats_source(spark, path).collect()}
+    if normalize and not built:
+        used = {r["feature"]: (r["mean"], r["std"]) for r in stats_source(spark, stats_path).collect()}
     return df, used

@@ -190,3 +190,24 @@ def test_empty_tables(spark):
 def test_matches_sql(spark, key):
     result = compare(spark, duck(SF), key, SF, catalog.QUERIES, catalog.ORACLES)
     assert result.startswith("ok"), result
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
+def test_pipeline_stages_on_odd_and_empty_documents(spark):
+    import corpus_pipeline
+
+    long = "plain words of a document that goes on for a while and says one thing after another " * 8
+    rows = [(i, t, "en" if k % 2 else None, None if k % 3 else "s", None if t is None else len(t), "x", 1) for k, (i, t) in enumerate(ODD)]
+    rows += [(500, long, "en", "s", len(long), "y", 2), (501, long, "en", "s", len(long), "y", 2), (501, long, "en", "s", len(long), "y", 2), (None, long + "and more", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, block int").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        none = stage(spark, docs.limit(0), SF)
+        assert out.count() >= 0 and none.count() == 0 and none.columns == out.columns
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+    assert dict(corpus_pipeline.STAGES)["pii"](spark, docs, SF).count() == len(rows)
+    kept = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs.where("doc_id >= 500"), SF).collect()]
+    assert kept == [500]
+    packed = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(rows)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import small_batches, stored
-from .words import chunks, mix, windows
+from .words import chunks, mix, tidied, windows
 
 SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, slots binary"
 #: Classes of one block of a bucket, and of one block of a hub.
@@ -140,7 +140,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                      pa.array(keys[:, 1].view(np.int64)), lists, pa.array([c.tobytes() for c in cut], pa.binary())],
                     names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "slots"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, SIGNED)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), SIGNED)
 
 
 def group_edges(edges: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _links_in_blocks(rows: DataFrame, need: int, threshold: int) -> DataFrame:
         settle(links)
         yield _link_rows(links)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def _link_rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -286,7 +286,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
                 blobs = [elements[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, len(w)), pa.array(blobs, pa.binary())], names=["class_id", "elements"])
 
-    return small_batches(texts).select("doc_id", "text").mapInArrow(run, "class_id long, elements binary")
+    return small_batches(texts).select("doc_id", "text").mapInArrow(tidied(run), "class_id long, elements binary")
 
 
 def _against_hubs(rows: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -329,7 +329,7 @@ def _against_hubs(rows: DataFrame, n: int, threshold: int) -> DataFrame:
             cols = list(zip(*links)) if links else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def components(docs: DataFrame, n: int = 5, threshold: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from .store import small_batches, stored
 from .tokens import encoder
+from .words import tidied
 
 ROWS = ("doc_id long, n_full int, rest int, rest_crc long, full_crcs array<long>, task int, rest_rank long, full_rank long")
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -131,7 +132,7 @@ def lengths(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Data
                      pa.array(full_crcs, pa.list_(pa.int64())), pa.array(np.full(n, task), pa.int32()), pa.array(rank), pa.array(full_rank)],
                     names=["doc_id", "n_full", "rest", "rest_crc", "full_crcs", "task", "rest_rank", "full_rank"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, ROWS)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), ROWS)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -181,4 +182,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
                 pa.array(np.concatenate([offset[some], np.zeros(len(doc), np.int64)])),
             ], names=[x.split()[0] for x in PACKED.split(", ")])
 
-    return placed.mapInArrow(run, PACKED)
+    return placed.mapInArrow(tidied(run), PACKED)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import small_batches
-from .words import SPACE, Words, chunks, mix, segment_sum, windows
+from .words import SPACE, Words, chunks, mix, segment_sum, tidied, windows
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
@@ -185,7 +185,7 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([quality.slice(w.first, len(w)).cast(pa.int32()), pa.array(np.diff(lines)), pa.array(blobs, pa.binary())],
                                                  names=["quality", "n_lines", "features"])
 
-    return small_batches(docs.select("doc_id", "text")).join(own, "doc_id").select("quality", "text").mapInArrow(run, "quality int, n_lines long, features binary")
+    return small_batches(docs.select("doc_id", "text")).join(own, "doc_id").select("quality", "text").mapInArrow(tidied(run), "quality int, n_lines long, features binary")
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Chain:
@@ -219,7 +219,7 @@ def judged(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(w.first, len(w)).cast(pa.int64()), *[pa.array(counts[:, k]) for k in range(5)],
                                                   pa.array(failed), pa.array(kept), pa.array(share)], names=[x.split()[0] for x in JUDGED.split(", ")])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, JUDGED)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), JUDGED)
 
 
 def kept_documents(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
@@ -230,4 +230,4 @@ def kept_documents(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFra
             kept = [_verdicts(w, chain, least)[2] for w in chunks(batch.column(batch.schema.names.index("text")), size=1_000_000)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidied(run), docs.schema)

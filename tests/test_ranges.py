@@ -44,3 +44,19 @@ def test_a_bucket_is_read_by_the_ranges_that_need_it(spark):
     got = sorted((r["_bucket"].date(), r["_part"], r["own__"]) for r in range_map(d, halo=3, rows=2, unit="day").collect())
     for i in range(10):
         assert [(p, own) for b, p, own in got if b == day(i)] == [(p, p == i // 2) for p in range(5) if p == i // 2 or p > i // 2 and i >= 2 * p - 3]
+
+
+def test_bars_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """No task holds many more bars than asked for, however narrow they are, and a ticker stays in one."""
+    from tidebar.operators import ranges
+    from tidebar.operators.explorer import x_returns
+    from tidebar.sources.bars import bars
+
+    monkeypatch.setattr(ranges, "TASK_BARS", 100)
+    items = spark.range(4000).selectExpr("id AS l_orderkey", "1L AS l_linenumber", "1L AS l_partkey", "id % 80 AS l_suppkey", "CAST(1 AS DOUBLE) AS l_quantity",
+                                         "CAST(id AS DOUBLE) AS l_extendedprice", "date_add(DATE'1995-01-02', CAST(7 * (id div 80) AS INT)) AS l_shipdate")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = local(x_returns(bars(spark, str(tmp_path))).withColumn("task", F.spark_partition_id()).select("ticker", "date", "task"))
+    assert len(d) == 4000
+    assert d.groupby("task").size().max() <= 500
+    assert (d.groupby("ticker")["task"].nunique() == 1).all()

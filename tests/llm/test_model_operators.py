@@ -158,6 +158,18 @@ def test_katz(docs, texts, vocabulary, monkeypatch):
     assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
 
 
+def test_katz_in_little_memory(docs, texts, monkeypatch):
+    """Buckets give out their rows piece by piece, and every task on texts or buckets returns the memory it has freed."""
+    wrapped, inner = [], katz.tidied
+    monkeypatch.setattr(katz, "tidied", lambda run: wrapped.append(run) or inner(run))
+    monkeypatch.setattr(katz, "OUT_ROWS", 7)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 50_000)
+    want, _ = plain_katz(texts, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}, 50)
+    got = katz.scored(docs.repartition(3), 50).collect()
+    assert len(wrapped) == 4
+    assert all(abs(r["score"] - want[r["doc_id"]][4]) < 1e-6 for r in got) and len(got) == len(texts)
+
+
 def test_katz_of_odd_texts(odd, none, spark):
     got = katz.scored(odd).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in ODD)

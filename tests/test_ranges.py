@@ -60,3 +60,28 @@ def test_bars_are_spread_by_their_number(spark, tmp_path, monkeypatch):
     assert len(d) == 4000
     assert d.groupby("task").size().max() <= 500
     assert (d.groupby("ticker")["task"].nunique() == 1).all()
+
+
+def test_large_splits_are_rebalanced_before_their_groups(spark, tmp_path, monkeypatch):
+    """The groups that a task combines are bounded by rows, not by the split of the file; small splits stay as read, and bars are the same."""
+    from tidebar.operators import ranges
+    from tidebar.sources.bars import bars
+
+    items = spark.range(6000).selectExpr("id AS l_orderkey", "1L AS l_linenumber", "1L AS l_partkey", "IF(id % 3 = 0, 7L, id % 80) AS l_suppkey", "CAST(1 + id % 5 AS DOUBLE) AS l_quantity",
+                                         "CAST(id AS DOUBLE) AS l_extendedprice", "date_add(DATE'1995-01-02', CAST(id div 80 AS INT)) AS l_shipdate")
+    items.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    largest = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    want = local(bars(spark, str(tmp_path)))
+    assert largest(ranges.evened(rows, "l_suppkey", "l_shipdate")) == 6000
+    monkeypatch.setattr(ranges, "TASK_ROWS", 1000)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # tasks this small would be joined
+    held = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert largest(ranges.evened(rows, "l_suppkey", "l_shipdate")) <= 2000
+        assert largest(ranges.evened(rows.repartition(8), "l_suppkey", "l_shipdate")) <= 1000
+        got = local(bars(spark, str(tmp_path)))
+    finally:
+        spark.conf.set(key, held)
+    assert len(got) == len(want) and (got.values == want.values).all()

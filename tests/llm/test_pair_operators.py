@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ODD, words
 
 from tidebar.llm import decontaminate, near_dup, substrings
+from tidebar.llm.words import chunks, windows
 
 
 def shingle_set(text, n):
@@ -205,6 +207,20 @@ def test_passages(spark, odd, none):
     assert r
 
 
+def test_seeds_of_many_texts_at_once():
+    r = random.Random(4)
+    texts = [None, "", "a b c d e", "a b c d e f", "x " * 400, *(" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (6, 7, 16, 17, 18, 19, 60, 0, 200)), "z " * 17]
+    for w in chunks(pa.array(texts, pa.string()), lower=True):
+        got = list(zip(*(x.tolist() for x in substrings.winnowed(w.hashes, w.word, 6, 12))))
+        want = set()
+        for i in range(len(w)):
+            runs = windows(w.hashes[w.word[i]:w.word[i + 1]], 6).tolist()
+            for s in range(max(len(runs) - 11, min(len(runs), 1))):
+                view = runs[s:s + 12]
+                want.add((i, s + view.index(min(view)), min(view)))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def covered_words(found):
     out = {}
     for x in found:

@@ -158,6 +158,21 @@ def test_katz(docs, texts, vocabulary, monkeypatch):
     assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
 
 
+@pytest.mark.parametrize("table", [0, 50, 3_000])
+def test_katz_of_every_word(docs, texts, table, monkeypatch):
+    """Words without a number in the table are classes and histories of their own all the same."""
+    monkeypatch.setattr(katz, "TABLE", table)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 20_000)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 100_000)
+    want, sums = plain_katz(texts, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}, 10 ** 9)
+    assert max(abs(s - 1) for s in sums) < 1e-9
+    got = katz.scored(docs.repartition(3)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        _, known, _, base, score = want[r["doc_id"]]
+        assert r["n_known"] == known and abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - score) < 1e-6
+
+
 def test_katz_in_little_memory(docs, texts, monkeypatch):
     """Buckets give out their rows piece by piece, and every task on texts or buckets returns the memory it has freed."""
     wrapped, inner = [], katz.tidied

@@ -269,3 +269,61 @@ def test_passages_of_mosaics(spark):
     found = substrings.passages(docs).collect()
     assert {101, 201, 203, 205} <= {x["doc_id"] for x in found}
     check_passages(texts, found)
+
+
+def changed(r, words, every=None, share=0.0):
+    """Words of a passage with every n-th changed, or a share of them replaced, left out or doubled; both ends are kept."""
+    out = []
+    for k, w in enumerate(words):
+        if k in (0, len(words) - 1) or not (k % every == every - 1 if every else r.random() < share):
+            out.append(w)
+        else:
+            how = 0 if every else r.randrange(3)
+            out += [f"new{r.randrange(10 ** 9)}"] if how == 0 else [] if how == 1 else [w, w]
+    return out
+
+
+def test_passages_with_many_changed_words(spark):
+    r = random.Random(11)
+    new = lambda n: [f"v{r.randrange(10 ** 9)}" for _ in range(n)]
+    texts, wanted = {}, []
+    for size in (50, 60, 100):
+        for how in ({"every": 12}, {"every": 7}, {"every": 5}, {"share": 0.15}):
+            for _ in range(20):
+                p, d = new(size), len(texts)
+                q = changed(r, p, **how)
+                texts[d], texts[d + 1] = new(30) + p + new(30), new(40) + q + new(20)
+                if max(len(p), len(q)) >= 50 and common_words(p, q) >= 0.8 * max(len(p), len(q)):
+                    wanted.append((d + 1, d, len(q)))
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    found = substrings.passages(docs).collect()
+    check_passages(texts, found)
+    words = covered_words(found)
+    hit = [len(words.get(d, set()) & set(range(40, 40 + n))) >= 0.8 * n for d, _, n in wanted]
+    assert len(wanted) > 200 and sum(hit) >= 0.97 * len(wanted), (sum(hit), len(wanted))
+
+
+def test_changed_passages_whose_parts_came_first_elsewhere(spark):
+    r = random.Random(12)
+    new = lambda n: [f"v{r.randrange(10 ** 9)}" for _ in range(n)]
+    parts = [new(r.randint(18, 24)) for _ in range(40)]
+    texts = {k: new(5) + p + new(60) for k, p in enumerate(parts)}
+    wanted = []
+    for k in range(20):
+        p = sum(r.sample(parts, 3), [])
+        # two of the three parts came together before, too few words for a passage
+        texts[100 + 3 * k] = new(60) + p[:42][-30:] + new(60)
+        texts[101 + 3 * k] = new(20) + p + new(20)
+        q = changed(r, p, every=8)
+        texts[102 + 3 * k] = new(9) + q + new(9)
+        wanted.append((102 + 3 * k, range(9, 9 + len(q))))
+    # a passage that agrees inside a longer stretch which does not
+    p, q, s = new(60), new(60), new(60)
+    texts[500], texts[501] = q + p + s, [x if j % 2 else "n" for j, x in enumerate(q)] + changed(r, p, every=9) + [x if j % 2 else "m" for j, x in enumerate(s)]
+    wanted.append((501, range(62, 118)))
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    found = substrings.passages(docs).collect()
+    check_passages(texts, found)
+    words = covered_words(found)
+    hit = [len(words.get(d, set()) & set(at)) >= 0.9 * len(at) for d, at in wanted]
+    assert hit[-1] and sum(hit) >= 19, hit

@@ -185,6 +185,28 @@ def test_katz_in_little_memory(docs, texts, monkeypatch):
     assert all(abs(r["score"] - want[r["doc_id"]][4]) < 1e-6 for r in got) and len(got) == len(texts)
 
 
+def test_katz_of_one_very_frequent_pair(docs, texts, spark, monkeypatch):
+    """Nearly all tokens are one pair, so its bucket has many parts; none of them, and no reply, grows with that."""
+    for name, value in (("BUCKET_TOKENS", 20_000), ("BLOCK_BYTES", 20_000), ("PART_TOKENS", 500), ("HELD_BYTES", 3_000), ("GATHERED", 400)):
+        monkeypatch.setattr(katz, name, value)
+    own = {**{k: v for k, v in list(texts.items())[:60]}, **{10 ** 6 + k: "la " * 700 + f"end{k}" for k in range(80)}}
+    d = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+    wrapped, inner = [], katz.tidied
+    monkeypatch.setattr(katz, "tidied", lambda run: wrapped.append(run) or inner(run))
+    totals = katz.Totals(katz.word_counts(d), d, None)
+    rows = katz._blocks(d, totals, 40).collect()
+    assert max(len(r["data"]) for r in rows if r["kind"] == katz._PAIRS) < 8_000
+    hot = [r for r in rows if r["kind"] != katz._INFO]
+    assert max(collections.Counter(r["bucket"] for r in hot).values()) > 50
+    replies = katz._counted(spark.createDataFrame(rows).repartition(4, "bucket").sortWithinPartitions("bucket"), totals).where(f"kind = {katz._INFO} AND data IS NOT NULL").collect()
+    size = sum(len(r["data"]) for r in replies if katz.unpacked(r["data"])[0][0] != katz._INFO)
+    assert size < 200 * len(replies) + 64 * totals.all  # goes with tokens, not with documents times buckets
+    want, _ = plain_katz(own, {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in own}, 10 ** 9)
+    got = katz.scored(d).collect()
+    assert len(got) == len(own)
+    assert all(abs(r["score"] - want[r["doc_id"]][4]) < 1e-6 and r["n_known"] == want[r["doc_id"]][1] for r in got)
+
+
 def test_katz_of_odd_texts(odd, none, spark):
     got = katz.scored(odd).collect()
     assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in ODD)

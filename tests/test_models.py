@@ -13,6 +13,7 @@ from tidebar.operators.learn import Fitted
 from tidebar.operators.metrics import roc_auc
 from tidebar.operators.regime_block import m002_features
 from tidebar.operators.score_path import POLICY_INPUT, ScoreModel, fit_score_model
+from tidebar.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +85,18 @@ def test_regime_probabilities_need_enough_bars(spark):
     probs = got[got.ticker != "C"][[k for k in got.columns if k.startswith("state_prob_")]]
     assert np.allclose(probs.sum(axis=1), 1)
     assert isinstance(got["date"][0], dt.date)
+
+
+def line_items(spark, path, suppliers=2, weeks=40):
+    rows = [(s, s * 1000 + w, 1, 7, 2.0 + w % 3, 100.0 + (w * 7 + s) % 13, dt.datetime(2020, 1, 1) + dt.timedelta(days=7 * w)) for s in range(1, suppliers + 1) for w in range(weeks)]
+    kinds = "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_calibrate_computes_its_scores_once(spark, tmp_path, monkeypatch):
+    plans, inner = [], learn.calibrate
+    monkeypatch.setattr(learn, "calibrate", lambda d, *rest: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or inner(d, *rest))
+    got = {r["method"]: (r["rows"], r["in_range"]) for r in catalog.QUERIES["calibrate"](spark, line_items(spark, tmp_path)).collect()}
+    assert got == {"isotonic": (80, 80), "sigmoid": (80, 80)}
+    assert len(plans) == 2 and not any("l_suppkey" in p or "Aggregate" in p for p in plans)

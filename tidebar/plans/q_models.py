@@ -9,6 +9,7 @@ from ..functions.expr import c
 from ..operators import labels as lab
 from ..operators import learn as ml
 from ..operators.features import atr_v1, returns, rsi_v1
+from ..operators.ordered import drop_unused, pinned
 from ..operators.ranking import sample_weights, turnover_rank_dense
 from ..operators.regime_block import m002_features
 from ..operators.score_path import REGIME_FEATURES, ScoreModel, fit_score_model
@@ -78,7 +79,8 @@ def _(spark, sf):
 
 @query("calibrate", with_("mb", "SELECT unnest(['isotonic', 'sigmoid']) AS method, rows, rows AS in_range, scores, 0::BIGINT AS falling FROM (SELECT count(*) AS rows, count(DISTINCT prob) AS scores FROM mb)"))
 def _(spark, sf):
-    d = judged(spark, sf)
+    d = pinned(judged(spark, sf).select("big_move_event", "prob"))  # both fits read it several times
+    drop_unused(spark)
     out, falling, rising = None, F.count_if(c("y") < c("before") - 1e-12), F.count_if(c("y") > c("before") + 1e-12)
     for method in ("isotonic", "sigmoid"):  # the logistic curve may fall, but then everywhere
         r = ml.calibrate(d, "big_move_event", "prob", method)

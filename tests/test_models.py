@@ -1,6 +1,7 @@
 """Models that are fitted, kept and applied; the window model; the path from scores to actions."""
 
 import datetime as dt
+import glob
 
 import numpy as np
 import pytest
@@ -100,3 +101,14 @@ def test_calibrate_computes_its_scores_once(spark, tmp_path, monkeypatch):
     got = {r["method"]: (r["rows"], r["in_range"]) for r in catalog.QUERIES["calibrate"](spark, line_items(spark, tmp_path)).collect()}
     assert got == {"isotonic": (80, 80), "sigmoid": (80, 80)}
     assert len(plans) == 2 and not any("l_suppkey" in p or "Aggregate" in p for p in plans)
+
+
+def test_fitted_rows_are_not_kept(spark, panel):
+    kept = lambda: set(glob.glob(ordered.shared_folder(spark).removeprefix("file:") + "/rdd-*"))
+    d = ordered.pinned(panel.select("ticker", "date", "close", F.when(F.col("close") > 10, "Peak").otherwise("Base").alias("regime_state")))
+    before = kept()
+    assert before
+    model = learn.fit_regime(d, ["close"], lags=(1,), seq_len=5, trees=2, depth=2)
+    assert kept() == before and model.apply(d).count() == 370  # the frame it was fitted on stays
+    d = panel.select("close", (F.col("close") > 10).cast("int").alias("label_rebound_bin"), (F.col("close") % 3).alias("ret_5d_pct"), (-F.col("close") % 2).alias("dd_5d_pct"))
+    assert learn.fit_heads(d, ["close"], trees=2, reg_trees=2, depth=2).apply(d).count() == 370 and kept() == before
